@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,20 @@ def local_session(cpus: int | str = 8, app: str = "kontor", shuffle_partitions:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session; Spark copies it to every executor."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_kontor_shipped", False):
+        sc._kontor_shipped = True
+        home = Path(__file__).resolve().parent
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='kontor-')}/kontor", "zip", home.parent, home.name)
+        sc.addPyFile(made)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder of ``spark.checkpoint.dir``; only where that is unset (one machine), a temporary one."""
     sc = spark.sparkContext
