@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kontor.llm import residue as p5
 from kontor.llm import survivors as p1
 from kontor.llm import tokenize as p7
 from kontor.sources.tables import table
@@ -28,6 +29,14 @@ def p1_sources(spark: SparkSession, d: str) -> DataFrame:
     return p1_values(spark, d)[1]
 
 
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return p5.excluded_pages(table(spark, d, "site_pages"), table(spark, d, "placeholder_values"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_reasons(spark, d).select("page_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return p7.encode_corpus(table(spark, d, "documents"))
 
@@ -35,6 +44,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sources": p1_sources,
+    "p5_found": p5_found,
+    "p5_reasons": p5_reasons,
     "p7_ids": p7_ids,
 }
 
