@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kontor.llm import canonical as p4
 from kontor.llm import residue as p5
 from kontor.llm import survivors as p1
 from kontor.llm import tokenize as p7
@@ -29,6 +30,10 @@ def p1_sources(spark: SparkSession, d: str) -> DataFrame:
     return p1_values(spark, d)[1]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4.resolved_inputs(table(spark, d, "scrape_resolve"), table(spark, d, "canon_values"))
+
+
 def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     return p5.excluded_pages(table(spark, d, "site_pages"), table(spark, d, "placeholder_values"))
 
@@ -44,6 +49,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sources": p1_sources,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_reasons": p5_reasons,
     "p7_ids": p7_ids,
