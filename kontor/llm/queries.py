@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kontor.llm import addresses as p3
 from kontor.llm import canonical as p4
 from kontor.llm import residue as p5
 from kontor.llm import survivors as p1
@@ -30,6 +31,12 @@ def p1_sources(spark: SparkSession, d: str) -> DataFrame:
     return p1_values(spark, d)[1]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    orgs = table(spark, d, "jsonld_orgs").select(F.col("org_id").alias("id"), F.col("address_text").alias("text"), F.col("postal_code").alias("pc_given"))
+    legal = table(spark, d, "address_results").select(F.col("addr_id").alias("id"), F.col("address").alias("text"), F.col("postal_code").alias("pc_given"))
+    return p3.place_pairs(orgs.unionByName(legal))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4.resolved_inputs(table(spark, d, "scrape_resolve"), table(spark, d, "canon_values"))
 
@@ -49,6 +56,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sources": p1_sources,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_reasons": p5_reasons,
