@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kontor.llm import addresses as p3
 from kontor.llm import canonical as p4
+from kontor.llm import names as p6
 from kontor.llm import residue as p5
 from kontor.llm import survivors as p1
 from kontor.llm import tokenize as p7
@@ -49,6 +50,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_reasons(spark, d).select("page_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6.pairs_of(p6.organisations(table(spark, d, "poi_elements"), table(spark, d, "jsonld_orgs")), "org")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return p7.encode_corpus(table(spark, d, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_reasons": p5_reasons,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
 }
 
