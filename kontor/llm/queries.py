@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kontor.llm import addresses as p3
 from kontor.llm import canonical as p4
+from kontor.llm import linkage as p2
 from kontor.llm import names as p6
 from kontor.llm import residue as p5
 from kontor.llm import survivors as p1
@@ -32,6 +33,15 @@ def p1_sources(spark: SparkSession, d: str) -> DataFrame:
     return p1_values(spark, d)[1]
 
 
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    matches = p2.same_place_pairs(p2.prepared(table(spark, d, "dedup_entries")), p2.prepared(table(spark, d, "web_entries")))
+    return matches.select(F.col("a_id").alias("osm_entry_id"), F.col("b_id").alias("web_entry_id"), F.col("posterior").alias("confidence"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).select("osm_entry_id", "web_entry_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     orgs = table(spark, d, "jsonld_orgs").select(F.col("org_id").alias("id"), F.col("address_text").alias("text"), F.col("postal_code").alias("pc_given"))
     legal = table(spark, d, "address_results").select(F.col("addr_id").alias("id"), F.col("address").alias("text"), F.col("postal_code").alias("pc_given"))
@@ -61,6 +71,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sources": p1_sources,
+    "p2_found": p2_found,
+    "p2_matches": p2_matches,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
