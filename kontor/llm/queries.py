@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kontor.llm import addresses as p3
 from kontor.llm import canonical as p4
+from kontor.llm import leaks as p8
 from kontor.llm import linkage as p2
 from kontor.llm import names as p6
 from kontor.llm import residue as p5
@@ -68,6 +69,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return p7.encode_corpus(table(spark, d, "documents"))
 
 
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return p8.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_passages(spark, d).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sources": p1_sources,
@@ -79,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_reasons": p5_reasons,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_passages": p8_passages,
 }
 
 SQL: dict[str, str] = {
