@@ -12,6 +12,7 @@ from kontor.llm import canonical as p4
 from kontor.llm import leaks as p8
 from kontor.llm import linkage as p2
 from kontor.llm import names as p6
+from kontor.llm import personal as p9
 from kontor.llm import residue as p5
 from kontor.llm import survivors as p1
 from kontor.llm import tokenize as p7
@@ -77,6 +78,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_passages(spark, d).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9.found(table(spark, d, "documents"))
+
+
+def p9_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return p9.sanitised(docs, p9.found(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sources": p1_sources,
@@ -90,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
+    "p9_found": p9_found,
+    "p9_sanitised": p9_sanitised,
 }
 
 SQL: dict[str, str] = {
