@@ -6,14 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kontor.sources.tables import table
+from kontor.plans import aggregates, joins, sources, texts
 
-FLAGSHIP = "scan_elements"
+FLAGSHIP = "mail_per_language"
 
-
-def scan_elements(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "poi_elements").select("row_id", "type", "id")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"scan_elements": scan_elements}
-SQL: dict[str, str] = {"scan_elements": "SELECT row_id, type, id FROM poi_elements"}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**sources.QUERIES, **joins.QUERIES, **aggregates.QUERIES, **texts.QUERIES}
+SQL: dict[str, str] = {**sources.SQL, **joins.SQL, **aggregates.SQL, **texts.SQL}
