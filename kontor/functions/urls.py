@@ -38,7 +38,7 @@ def normal_website(raw: Column | str) -> Column:
     h = host(first)
     path = F.regexp_replace(rest, r"^[^/?]*", "")
     path = F.regexp_replace(path, r"(?i)([?&])(?:utm_[a-z]+|gclid|fbclid|mc_[a-z]+)=[^&]*", "$1")
-    path = F.regexp_replace(F.regexp_replace(path, r"[&]{2,}", "&"), r"\?&|[?&]+$", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"[&]{2,}", "&"), r"\?&", "?"), r"[?&]+$", "")
     path = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
     return F.when(scheme.isNotNull() & h.isNotNull() & ~h.rlike(r"^[0-9.]+$"), F.concat(scheme, F.lit("://"), h, path))
 
