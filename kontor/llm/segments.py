@@ -45,7 +45,12 @@ def segment_pairs(left: DataFrame, right: DataFrame, longest: int = 2) -> DataFr
     probe = probe.withColumn("k", F.when(F.col("m") <= 3, 0).otherwise(k(F.col("m")))).where(F.abs(F.col("n") - F.col("m")) <= F.col("k"))
     probe = probe.select("block", "a", "n", "m", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
     probe = probe.withColumn("at", place(F.col("i")) + 1).withColumn("len", place(F.col("i") + 1) - place(F.col("i")))
-    probe = probe.select("block", "a", "m", "i", "len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("k")), F.greatest(F.lit(1), F.least(F.col("at") + F.col("k"), F.col("n") - F.col("len") + 1)))).alias("p"))
+    # of a pair within k edits, some segment i is whole with at most i edits before it and k - i behind it
+    shift = F.col("n") - F.col("m")
+    low = F.greatest(F.lit(1), F.col("at") - F.col("i"), F.col("at") + shift - (F.col("k") - F.col("i")))
+    high = F.least(F.col("n") - F.col("len") + 1, F.col("at") + F.col("i"), F.col("at") + shift + (F.col("k") - F.col("i")))
+    probe = probe.withColumn("low", low).withColumn("high", high).where("low <= high")
+    probe = probe.select("block", "a", "m", "i", "len", F.explode(F.sequence("low", "high")).alias("p"))
     probe = probe.select("block", "a", "m", "i", F.col("a").substr(F.col("p"), F.col("len")).alias("seg")).distinct()
 
     found = probe.join(index, ["block", "m", "i", "seg"]).select("block", "a", "b").distinct()
