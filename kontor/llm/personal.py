@@ -34,7 +34,7 @@ ID_CUE = (
     r"|Social security|National Insurance|NI|NINO|SSN|Sécurité sociale|NIR|INSEE|Seguridad Social|NUSS|NSS)"
 )
 ID_NOISE = r"(?:[\s:.#°]|(?i:no|nr|n[°ºo]|number|nummer|num|número|numéro|lautet|is|est|es|de|la|le|with|mit|con|holder|shown|titular|du|des|number:))"
-ID_VALUE = r"(?P<v>(?=[A-Z\d./ -]{0,6}\d)[A-Z]{0,3}[ ]?\d[A-Z\d]*(?:[ ./-](?=[A-Z]?\d|[A-Z]\b(?![\p{L}.]))[A-Z\d]+)*)"
+ID_VALUE = r"(?P<v>(?=[A-Z\d./ -]{0,6}\d)[A-Z]{0,3}[ ]?\d[A-Z\d]*(?:[ ./-](?=[A-Z]?\d|[A-Z]\b(?!\p{L}|\.\p{L}))[A-Z\d]+)*)"
 ID = regex.compile(rf"(?<![\p{{L}}])(?i:(?P<cue>{ID_CUE}))(?=[\s:.#°]){ID_NOISE}{{0,40}}?{ID_VALUE}")
 
 # A number of a phone has a prefix that no article or order number has, or stands behind a word for phones.
@@ -44,6 +44,7 @@ PHONE = regex.compile(rf"(?<![\p{{L}}\d.,/+-])(?<!\d[ ]){PHONE_PLAIN}(?![\d]|[.,
 PHONE_CUE = regex.compile(
     r"(?:\b(?i:tel(?:[ée]fono|efon|éphone|ephone)?|t[ée]l|phone|fax|telefax|t[ée]l[ée]copie|mobil(?:e|telefon)?|mob|m[óo]vil|handy|portable|llame al|rufen sie|call|appelez(?: le)?|ligne directe|durchwahl|hotline)\b|☎|✆|📞)[ \t]*[.:]*[ \t]*(?:(?i:nr|no|n[º°]|unter|at|au|al)\b[.:]?[ \t]*)?(?P<v>[+(]?\d(?:[ \t]?[()./–-]?[ \t]?[()]?\d){6,14})(?!\d)"
 )
+REGISTER = regex.compile(r"\b(?:RCS|SIREN|SIRET|HR[AB]|Registergericht|Registro Mercantil)\b[^\d\n]{0,80}$")
 DATE = regex.compile(r"^\d{1,2}([./-])\d{1,2}\1\d{2,4}$")
 REFERENCE = regex.compile(r"(?i)(?:\b(?:nr|no|n[°º]|artikel|part|pi[èe]ce|pieza|quote|angebot|devis|presupuesto|order|auftrag|bestellung|commande|pedido|r[ée]f[ée]rence|referencia|referenz|lieferschein|delivery note|bon|albar[áa]n|pr[üu]fbericht|load test|essai|ensayo|hrb|hra|rcs|siret|siren|tomo|hoja|vat|ust-idnr|company|ma[ßs]e|din|fehler|error|grid ref|version|build|iban|konto|position|line)\b[.:°º]*\s*(?:n[°º.]|nr\.?|no\.?)?\s*(?:\w{1,2}-)?)$")
 
@@ -53,7 +54,7 @@ WORD = rf"{UP}[\p{{L}}\p{{M}}’'-]*"
 TYPE_DE = r"(?:stra(?:ß|ss)e|str\.|gasse|g\.|platz|pl\.|allee|al\.|ring|rg\.|weg|wg\.|damm|ufer|chaussee|steig|pfad|hof|markt|graben|STRASSE|STRAßE|STR\.|GASSE|PLATZ|ALLEE|RING|WEG)"
 STREET_DE = rf"(?:{UP}[\p{{L}}\p{{M}}-]*?{TYPE_DE}|{UP}[\p{{L}}\p{{M}}-]+[ -](?:Stra(?:ß|ss)e|Str\.|Gasse|G\.|Platz|Pl\.|Allee|Al\.|Ring|Rg\.|Weg|Wg\.|STRASSE|GASSE|PLATZ|ALLEE|RING|WEG))[ ]?(?:Nr\.?[ ]?)?{NUM}"
 STREET_FR = rf"\d{{1,4}}(?:[ ]?(?:bis|ter)|[ ]?[a-zA-Z](?![\p{{L}}.]))?,?[ ](?i:rue|r\.|avenue|av\.?|boulevard|bd\.?|place|pl\.|chemin|ch\.|impasse|imp\.|all[ée]e|all\.|quai|cours|route|rte|square|sq\.?)[ ](?:(?:de|du|des|la|le|les|l[’']|d[’'])[ ]?)*{WORD}(?:[ ]{WORD}){{0,1}}"
-STREET_GB = rf"\d{{1,4}}[a-zA-Z]?[ ]{WORD}(?:[ ]{WORD}){{0,2}}?[ ](?i:street|st|road|rd|lane|ln|avenue|ave|close|cl|drive|dr|way|court|ct|square|sq|terrace|place|mews|hill|row|crescent)\b\.?"
+STREET_GB = rf"\d{{1,4}}[a-zA-Z]?[ ]{WORD}(?:[ ]{WORD}){{0,2}}?[ ](?i:street|st|road|rd|lane|ln|avenue|ave|close|cl|drive|dr|way|court|ct|square|sq|terrace|place|mews|hill|row|crescent)\b"
 STREET_ES = rf"(?i:calle|c/|c\.|avenida|avda\.?|av\.|plaza|pza\.?|pl\.|paseo|p\.º|camino|cno\.?|ronda|carretera|ctra\.?|traves[íi]a)[ ]?(?:(?:de|del|la|las|los|el)[ ])*{WORD}(?:[ ]{WORD}){{0,1}},?[ ](?:n\.?[º°][ ]?|n[úu]m\.?[ ]?)?{NUM}"
 PLACE = rf"{WORD}(?:[ ](?:an der|am|an dem|auf der|im|in der|bei|ob der|vor der|sur|sous|en|St\.?|Saint|de la|de los|de las|del|de|la|les|upon|on the|AN DER|AM|DEL|DE|ST)[ ]{WORD}|[ ]\({WORD}\))?"
 CODE = r"(?:[A-Z]{1,2}[ ]?[-–][ ]?)?(?:\d{5}|\d{4}|\d{2}[ ]\d{3})(?!\d)"
@@ -101,7 +102,8 @@ def formal_spans(text: str) -> list[tuple[str, int, int]]:
     for m in PHONE_CUE.finditer(text):
         add("phone", m.start("v"), m.end("v"))
     for m in PHONE.finditer(text):
-        if not DATE.match(m[0]) and not REFERENCE.search(text[max(0, m.start() - 30) : m.start()]):
+        left = text[max(0, m.start() - 90) : m.start()]
+        if sum(c.isdigit() for c in m[0]) >= 10 and not DATE.match(m[0]) and not REFERENCE.search(left[-30:]) and not REGISTER.search(left):
             add("phone", m.start(), m.end())
     return taken
 
