@@ -20,7 +20,7 @@ def test_query(spark, sf, duck, name):
 @pytest.fixture(scope="module")
 def empty(spark, sf, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for t in ("dedup_entries", "web_entries", "poi_elements", "jsonld_orgs", "address_results", "scrape_final", "site_pages", "scrape_resolve", "documents", "canon_values", "events"):
+    for t in ("dedup_entries", "web_entries", "poi_elements", "jsonld_orgs", "address_results", "scrape_final", "site_pages", "scrape_resolve", "documents", "canon_values", "placeholder_values", "events"):
         spark.read.parquet(f"{sf}/{t}.parquet").where("false").write.parquet(f"{folder}/{t}.parquet")
     return str(folder)
 
