@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kontor.operators.joins import checked_broadcast
+from kontor.session import cut
+
 
 def water_fill(capacities: DataFrame, group: str, key: str, capacity: str, total: str) -> DataFrame:
     """``group``, ``key``, quota: ``total`` of each group spread evenly over its keys, none above its capacity.
@@ -33,15 +36,37 @@ def water_fill(capacities: DataFrame, group: str, key: str, capacity: str, total
     return rows.select(group, key, (F.col("_base") + F.when((room == 1) & (F.col("_r") <= F.col("_left")), 1).otherwise(0)).alias("quota"))
 
 
+def numbered(rows: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+    """``rows`` with ``name``: their place from 1 in their group by ``order``, also where one group holds most rows.
+
+    A window would sort a hot group in one task. Here all rows are range-partitioned by group and order, so a hot group
+    spans many partitions; each partition numbers its own rows, and the counts of the partitions before it (groups times
+    partitions, a small table) are added. ``order`` should leave no ties. The numbered rows are cut, since another
+    evaluation might draw other ranges. Nulls come first, as Spark sorts them.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    held = rows.withColumns({k: (F.col(o) if isinstance(o, str) else o) for k, o in zip(keys, order, strict=True)})
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = held.repartitionByRange(parts, *group, *keys).sortWithinPartitions(*group, *keys)
+    ranged = cut(ranged.drop(*keys).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_id", 33))
+    counts = ranged.groupBy(*group, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    starts = starts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_first", "_start")
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_part") == F.col("_p")]
+    joined = ranged.join(checked_broadcast(starts), same)
+    return joined.select(*rows.columns, (F.col("_id") - F.col("_first") + F.col("_start") + 1).alias(name))
+
+
 def take_quota(rows: DataFrame, group: list[str], order: list, quota: str) -> DataFrame:
     """``rows`` with place (from 1 in its group) and taken (whether it is within the group's quota)."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("place", F.row_number().over(w)).withColumn("taken", F.col("place") <= F.col(quota))
+    return numbered(rows, group, order, "place").withColumn("taken", F.col("place") <= F.col(quota))
 
 
 def round_robin(rows: DataFrame, group: list[str], order: list, group_order: list) -> DataFrame:
     """``rows`` with turn (their place in their group); ordered by turn and then group, they go round the groups."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).orderBy("turn", *group_order)
+    return numbered(rows, group, order, "turn").orderBy("turn", *group_order)
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

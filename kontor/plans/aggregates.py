@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kontor.operators import timeline
-from kontor.operators.allocation import first_per, take_quota, water_fill
+from kontor.operators.allocation import first_per, numbered, take_quota, water_fill
+from kontor.operators.joins import checked_broadcast
 from kontor.sources.tables import table
 
 BOUNDS = (0.2, 0.4, 0.6, 0.8)
@@ -78,22 +79,23 @@ def tiered_order(spark: SparkSession, d: str) -> DataFrame:
     """WI-03: entries of an area by what they tell: a site, a mailbox, nothing; then by order of adding."""
     e = table(spark, d, "dedup_entries")
     tier = F.when(F.col("domain").isNotNull(), 0).when(F.col("candidate.hints")["email"].isNotNull(), 1).otherwise(2)
-    w = Window.partitionBy("slice.area_id").orderBy("tier", "added_at", "entry_id")
-    return e.withColumn("tier", tier).withColumn("place", F.row_number().over(w)).select("entry_id", F.col("slice.area_id").alias("area_id"), "tier", "place")
+    rows = e.select("entry_id", F.col("slice.area_id").alias("area_id"), tier.alias("tier"), "added_at")
+    return numbered(rows, ["area_id"], ["tier", "added_at", "entry_id"], "place").drop("added_at")
 
 
 def quota_take(spark: SparkSession, d: str) -> DataFrame:
     """WI-04: the entries of each slice within its quota, and the surplus."""
     e = table(spark, d, "dedup_entries").select("entry_id", "added_at", F.col("slice.area_id").alias("area_id"), F.col("slice.industry_profile_id").alias("industry"), F.col("slice.quota").alias("quota"))
-    q = e.withColumn("quota", F.max("quota").over(Window.partitionBy("area_id", "industry")))
+    most = e.groupBy(F.col("area_id").alias("_a"), F.col("industry").alias("_i")).agg(F.max("quota").alias("quota"))
+    q = e.drop("quota").join(checked_broadcast(most), F.col("area_id").eqNullSafe(F.col("_a")) & F.col("industry").eqNullSafe(F.col("_i"))).drop("_a", "_i")
     return take_quota(q, ["area_id", "industry"], ["added_at", "entry_id"], "quota").select("entry_id", "area_id", "industry", "place", "taken")
 
 
 def round_robin_order(spark: SparkSession, d: str) -> DataFrame:
     """WI-05: entries of each country in turns round its areas."""
     e = table(spark, d, "dedup_entries").select("entry_id", "added_at", F.col("slice.country_code").alias("country_code"), F.col("slice.area_id").alias("area_id"))
-    turns = e.withColumn("turn", F.row_number().over(Window.partitionBy("country_code", "area_id").orderBy("added_at", "entry_id")))
-    return turns.select("entry_id", "country_code", "turn", F.row_number().over(Window.partitionBy("country_code").orderBy("turn", "area_id")).alias("place"))
+    turns = numbered(e, ["country_code", "area_id"], ["added_at", "entry_id"], "turn")
+    return numbered(turns, ["country_code"], ["turn", "area_id"], "place").select("entry_id", "country_code", "turn", "place")
 
 
 def specific_assignment(spark: SparkSession, d: str) -> DataFrame:

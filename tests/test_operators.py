@@ -148,3 +148,17 @@ def test_nulls_and_extra_columns(spark):
     df = spark.createDataFrame([(None, None, 1), ("a", None, 2)], "k string, n int, rn int")
     assert first_per(df, ["k"], ["n", "rn"]).count() == 2
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_numbered_equals_a_window(spark):
+    from pyspark.sql import Window
+
+    from kontor.operators.allocation import numbered
+
+    rng = random.Random(9)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.randint(0, 50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, n int, i int").repartition(7)
+    got = {(r.k, r.n, r.i): r.place for r in numbered(df, ["k"], [F.col("n"), "i"], "place").collect()}
+    want = df.select("k", "n", "i", F.row_number().over(Window.partitionBy("k").orderBy("n", "i")).alias("place"))
+    assert got == {(r.k, r.n, r.i): r.place for r in want.collect()}
+    assert numbered(df.where("false"), ["k"], ["n", "i"], "place").count() == 0
