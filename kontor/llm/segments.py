@@ -39,7 +39,9 @@ def segment_pairs(left: DataFrame, right: DataFrame, longest: int = 2) -> DataFr
     index = index.select("block", "b", "m", "i", (place(F.col("i")) + 1).alias("at"), (place(F.col("i") + 1) - place(F.col("i"))).alias("len"))
     index = index.select("block", "b", "m", "i", F.col("b").substr(F.col("at"), F.col("len")).alias("seg"))
 
-    probe = left.where("s <> ''").select("block", F.col("s").alias("a"), F.length("s").alias("n"))
+    # the strings are few bytes but become many rows: spread them before, by themselves, so no block is one task
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probe = left.where("s <> ''").select("block", F.col("s").alias("a"), F.length("s").alias("n")).repartition(parts, "a")
     most = F.when(F.col("n") <= 3, 0).otherwise(F.lit(longest + 1))
     probe = probe.select("block", "a", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - most), F.col("n") + most)).alias("m"))
     probe = probe.withColumn("k", F.when(F.col("m") <= 3, 0).otherwise(k(F.col("m")))).where(F.abs(F.col("n") - F.col("m")) <= F.col("k"))
