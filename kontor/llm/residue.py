@@ -107,6 +107,11 @@ def excluded_pages(pages: DataFrame, stand_ins: DataFrame, recurs: float = 0.5,
     base = pages.select("page_id", F.coalesce("domain", F.lit("")).alias("host"), F.coalesce("url", F.lit("")).alias("url"), page_lines("html").alias("lines"), page_title("html").alias("title"))
     lines = base.select("page_id", "host", "url", "title", F.posexplode("lines").alias("no", "l")).select("page_id", "host", "url", "title", "no", "l.line", "l.framed")
     at = r"(?i)([\p{L}\d._%+-]+)\s*(?:@|[\[({]\s*(?:at|ät|arroba|arobase|chez)\s*[\])}])\s*((?:[\p{L}\d-]+\s*(?:\.|[\[({]\s*(?:dot|punkt|point|punto)\s*[\])}])\s*)+\p{L}{2,})"
+    # cheap tests spare most lines the long patterns: a slot needs a delimiter, an address an at sign or a bracketed word
+    marked = F.col("line").rlike(r"[{}\[\]<>«»#%@*$_]")
+    mailed = F.contains("line", F.lit("@")) | F.col("line").rlike(r"(?i)[\[({]\s*(?:at|ät|arroba|arobase|chez)\s*[\])}]")
+    none = F.array().cast("array<string>")
+    given = lambda test, c, rest: F.when(test, c).otherwise(rest)
     lines = lines.select(
         "page_id",
         "host",
@@ -117,13 +122,14 @@ def excluded_pages(pages: DataFrame, stand_ins: DataFrame, recurs: float = 0.5,
         F.col("line").rlike(r"(?i)\blorem\b|\bipsum\b|dolor sit amet").alias("latin"),
         F.length("line").alias("chars"),
         F.xxhash64(F.regexp_replace(F.lower("line"), r"\d+", "0")).alias("h"),
-        inner_names(F.col("line"), SURE_SLOT).alias("sure"),
-        inner_names(F.col("line"), MAYBE_SLOT.replace("(", "(?:").replace("(?:?:", "(?:")).alias("maybe"),
-        F.exists(F.regexp_extract_all(F.col("line"), F.lit(f"({MAYBE_SLOT.replace('(', '(?:').replace('(?:?:', '(?:')})"), F.lit(1)), lambda x: F.regexp_replace(x, r"^[^\p{L}]+|[^\p{L}]+$", "").rlike(f"{ASKING}|{NAMELIKE}")).alias("asking"),
+        given(marked, inner_names(F.col("line"), SURE_SLOT), none).alias("sure"),
+        given(marked, inner_names(F.col("line"), MAYBE_SLOT.replace("(", "(?:").replace("(?:?:", "(?:")), none).alias("maybe"),
+        given(marked, F.exists(F.regexp_extract_all(F.col("line"), F.lit(f"({MAYBE_SLOT.replace('(', '(?:').replace('(?:?:', '(?:')})"), F.lit(1)), lambda x: F.regexp_replace(x, r"^[^\p{L}]+|[^\p{L}]+$", "").rlike(f"{ASKING}|{NAMELIKE}")), F.lit(False)).alias("asking"),
         F.col("line").rlike(FILLER).alias("filler"),
-        F.lower(F.regexp_extract("line", at, 1)).alias("local"),
-        F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract("line", at, 2), r"(?i)[\[({]\s*(?:dot|punkt|point|punto)\s*[\])}]", "."), r"\s+", "")).alias("mail_domain"),
-        (F.col("line").rlike(ERRORS) | F.col("line").rlike(SCRIPTS)).alias("message"),
+        given(mailed, F.lower(F.regexp_extract("line", at, 1)), F.lit("")).alias("local"),
+        given(mailed, F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract("line", at, 2), r"(?i)[\[({]\s*(?:dot|punkt|point|punto)\s*[\])}]", "."), r"\s+", "")), F.lit("")).alias("mail_domain"),
+        # a longer line is no message, as below
+        ((F.length("line") < 200) & (F.col("line").rlike(ERRORS) | F.col("line").rlike(SCRIPTS))).alias("message"),
         ((F.length("title") > 0) & (F.startswith(F.col("title"), F.col("line")) | (F.col("line") == F.col("title")))).alias("named"),
     )
     lines = cut(lines)
