@@ -24,7 +24,8 @@ from kontor.session import cut
 L = r"[\p{L}\p{M}]"
 AT = r"(?:@|＠|&#64;|&#x40;|%40|[ \t]*[\[({<][ \t]*(?:at|ät|@|arroba|arobase|chez)[ \t]*[\])}>][ \t]*|[ \t]+(?:AT|ÄT|ARROBA|AROBASE)[ \t]+|[ \t]+(?:at|arroba|arobase|chez)[ \t]+(?=[\w-]+[ \t]*[\[({]?[ \t]*(?:dot|punkt|point|punto)\b))"
 DOT = r"(?:\.|．|&#46;|[ \t]*[\[({][ \t]*(?:dot|punkt|point|punto|\.)[ \t]*[\])}][ \t]*|[ \t]+(?:dot|punkt|point|punto|DOT|PUNKT|POINT|PUNTO)[ \t]+)"
-MAIL = regex.compile(rf"(?<![\w.+-])[\p{{L}}\p{{M}}\d](?:[\p{{L}}\p{{M}}\d._+-]*[\p{{L}}\p{{M}}\d])?{AT}[\p{{L}}\d](?:[\p{{L}}\d-]*[\p{{L}}\d])?(?:{DOT}[\p{{L}}\d](?:[\p{{L}}\d-]*[\p{{L}}\d])?)*?{DOT}\p{{L}}{{2,24}}(?![\p{{L}}\d-]|\.\p{{L}}{{2,}}\b)")
+AT_SIGN = regex.compile(AT)
+DOMAIN = regex.compile(rf"[\p{{L}}\d](?:[\p{{L}}\d-]*[\p{{L}}\d])?(?:{DOT}[\p{{L}}\d](?:[\p{{L}}\d-]*[\p{{L}}\d])?)*?{DOT}\p{{L}}{{2,24}}(?![\p{{L}}\d-]|\.\p{{L}}{{2,}}\b)")
 FILE = regex.compile(r"(?i)(?:^|[.])(?:\d+x)\.|\.(?:png|jpe?g|gif|svg|webp|pdf|css|js|ico|bmp|tiff?)$")
 
 # What stands before the identity number of a person.
@@ -82,6 +83,20 @@ def folded(word: str) -> str:
     return text.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
+def mail_spans(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of mailboxes: from each at sign, plain or disguised, backward over the local part and forward over the domain."""
+    for m in AT_SIGN.finditer(text):
+        a = m.start()
+        if not a or not text[a - 1].isalnum() and not unicodedata.combining(text[a - 1]):
+            continue
+        while a and (text[a - 1].isalnum() or text[a - 1] in "._+-" or unicodedata.combining(text[a - 1])):
+            a -= 1
+        while a < m.start() and not text[a].isalnum():
+            a += 1
+        if domain := DOMAIN.match(text, m.end()):
+            yield a, domain.end()
+
+
 def formal_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of mailboxes, identity numbers, addresses and phone numbers; they don't overlap."""
     taken: list[tuple[str, int, int]] = []
@@ -90,9 +105,9 @@ def formal_spans(text: str) -> list[tuple[str, int, int]]:
         if a < b and all(b <= x or a >= y for _, x, y in taken):
             taken.append((kind, a, b))
 
-    for m in MAIL.finditer(text):
-        if not FILE.search(m[0]):
-            add("email", m.start(), m.end())
+    for a, b in mail_spans(text):
+        if not FILE.search(text[a:b]):
+            add("email", a, b)
     for m in ID.finditer(text):
         value, a = m["v"], m.start("v")
         if sum(c.isdigit() for c in value) >= 5:
