@@ -138,7 +138,8 @@ def street_types(records: DataFrame, share: float = 0.0005, least: int = 3) -> l
 
 
 def split_streets(records: DataFrame, types: list[str]) -> DataFrame:
-    """Adds kind (the street's type) and core (its name without it): a word of its own, or the end of a word."""
+    """Adds kind (the street's type) and core (its name without it): a word of its own, or the end of a word. Where two
+    types can end the word (rg. and g.), the record has a row for each."""
     listed = F.array(*[F.lit(t) for t in types]) if types else F.array().cast("array<string>")
     own = F.array_distinct(F.filter("words", lambda w: F.array_contains(listed, w)))
     rest = F.array_join(F.filter("words", lambda w: ~F.array_contains(listed, w)), "")
@@ -148,10 +149,11 @@ def split_streets(records: DataFrame, types: list[str]) -> DataFrame:
     pattern = "|".join(re.escape(t) for t in ends) or "(?!)"
     glued = F.regexp_extract(rest, rf"^(.{{3,}}?)({pattern})$", 2)
     bare = F.regexp_extract(rest, rf"^(.{{3,}}?)({pattern})$", 1)
-    kind = F.when(F.size(own) > 0, F.element_at(own, 1)).when(glued != "", glued).otherwise(F.lit(""))
-    core = F.when(F.size(own) > 0, rest).when(glued != "", bare).otherwise(rest)
-    core = F.when(core == "", F.array_join("words", "")).otherwise(core)
-    return records.withColumn("kind", kind).withColumn("core", F.replace(core, F.lit("."), F.lit("")))
+    longer = lambda g: F.regexp_extract(rest, rf"^(.{{3,}})({pattern})$", g)
+    clean = lambda c: F.replace(F.when(c == "", F.array_join("words", "")).otherwise(c), F.lit("."), F.lit(""))
+    split = lambda kind, core: F.struct(kind.alias("kind"), clean(core).alias("core"))
+    ways = F.when(F.size(own) > 0, F.array(split(F.element_at(own, 1), rest))).when(glued != "", F.array_distinct(F.array(split(glued, bare), split(longer(2), longer(1))))).otherwise(F.array(split(F.lit(""), rest)))
+    return records.withColumn("way", F.explode(ways)).select(*records.columns, "way.*")
 
 
 def significant(pairs: DataFrame, counts: dict[str, int], least: int = 2, g2: float = 10.83) -> list[tuple[str, str]]:
@@ -174,7 +176,7 @@ def same_places(records: DataFrame, max_rounds: int = 6) -> tuple[DataFrame, dic
     """id, place of each record with a street and a town; and the mined rewrites of street types.
 
     ``records``: id, text, pc_given. A place is a town, a house number with its letter and a street: the same type
-    after rewriting (or none told), names within :func:`allowed_edits`. Null, empty and incomplete texts have no
+    after rewriting (or none told), names within :func:`allowed_edits`; a street with a misspelt type is compared whole. Null, empty and incomplete texts have no
     place. Equal texts are one key; candidates are looked up by segments within (town, number).
     """
     base = records.where("text is not null").select("id", parsed("text", "pc_given").alias("p")).select("id", "p.*")
@@ -207,9 +209,26 @@ def same_places(records: DataFrame, max_rounds: int = 6) -> tuple[DataFrame, dic
         if not new:
             break
     edges = alike.where(agree()).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    edges = edges.unionByName(untyped_pairs(keys, rewrites))
+    mine = located.join(keys, ["town", "num", "kind", "core"]).select("id", "key")
+    # the keys of a record with two readings are one
+    edges = edges.unionByName(mine.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("a", "b"))
     grouped = components(edges.unionByName(keys.select(F.col("key").alias("a"), F.col("key").alias("b"))))
     of = keys.join(grouped, F.col("key") == F.col("node")).select("town", "num", "kind", "core", F.col("component").alias("place"))
-    return located.join(of, ["town", "num", "kind", "core"]).select("id", "place"), rewrites
+    return located.join(of, ["town", "num", "kind", "core"]).groupBy("id").agg(F.min("place").alias("place")), rewrites
+
+
+def untyped_pairs(keys: DataFrame, rewrites: dict[str, list[str]]) -> DataFrame:
+    """a, b: keys whose street has no known type (it may be misspelt) and keys that their whole street resembles, type
+    included, in full and on either side of the name."""
+    told = F.create_map(*[x for k, v in rewrites.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if rewrites else None
+    forms = F.coalesce(told[F.col("kind")], F.array("kind")) if rewrites else F.array("kind")
+    block = F.concat_ws("|", "town", "num")
+    bare = keys.where("kind = ''").select(block.alias("block"), F.col("core").alias("s"), F.col("key").alias("a"))
+    full = keys.where("kind <> ''").select(block.alias("block"), "core", F.col("key").alias("b"), F.explode(forms).alias("form"))
+    full = full.withColumn("form", F.replace("form", F.lit("."), F.lit(""))).select("block", "b", F.explode(F.array(F.concat("core", "form"), F.concat("form", "core"))).alias("t"))
+    near = segment_pairs(bare.select("block", "s").distinct(), full.select("block", F.col("t").alias("s")).distinct()).select("block", F.col("a").alias("s"), F.col("b").alias("t"))
+    return near.join(bare, ["block", "s"]).join(full, ["block", "t"]).select("a", "b").distinct()
 
 
 def abbreviates(short: str, long: str) -> bool:
