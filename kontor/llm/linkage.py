@@ -46,7 +46,8 @@ def located(rows: DataFrame) -> DataFrame:
 def compared(pairs: DataFrame) -> DataFrame:
     """Agreement levels of candidate pairs; null where a side tells nothing.
 
-    name: 2 all telling words of the shorter name agree, 1 some do, 0 none. trade: 1 one may abbreviate the other, 0 not.
+    name: 2 all telling words of the shorter name agree (of both, if one has only trades and given names), 1 some do,
+    0 none. trade: 1 one may abbreviate the other, 0 not.
     postal: 2 equal, 1 one edit or swap, 0 other. site: 1 equal hosts but for the top-level domain
     (or a mailbox at the other's host), 0 other.
     contact: 1 equal phone, 0 other. region: 1 equal, 0 other.
@@ -55,7 +56,7 @@ def compared(pairs: DataFrame) -> DataFrame:
     short = F.when(F.size("a_family") <= F.size("b_family"), F.col("a_family")).otherwise(F.col("b_family"))
     long = F.when(F.size("a_family") <= F.size("b_family"), F.col("b_family")).otherwise(F.col("a_family"))
     hits = F.size(F.filter(short, lambda w: like(w, long)))
-    name = F.when(F.size(short) == 0, F.lit(None)).when(hits == F.size(short), 2).when(hits > 0, 1).otherwise(0)
+    name = F.when(F.size(short) == 0, F.lit(None)).when((hits == F.size(short)) & (~(F.col("a_plain") | F.col("b_plain")) | (hits == F.size(long))), 2).when(hits > 0, 1).otherwise(0)
     ta, tb = F.col("a_trade"), F.col("b_trade")
     trade = F.when((ta == "") | (tb == ""), F.lit(None)).when((ta == tb) | subsequence(ta, tb) | subsequence(tb, ta) | (F.levenshtein(ta, tb) <= 3) & (F.least(F.length(ta), F.length(tb)) >= 8), 1).otherwise(0)
     d = F.levenshtein("a_postal", "b_postal")
@@ -106,16 +107,19 @@ def scored(left: DataFrame, right: DataFrame) -> DataFrame:
     """a_id, b_id, posterior and levels of every candidate pair of two prepared tables.
 
     Blocking passes: equal postal code and four letters in a row of a telling word; equal site or mail host and four
-    letters; equal phone; equal telling word. So hosts of many and hot postal codes only pair entries whose telling
+    letters; equal phone; equal telling word. A name of trades and given names only has all its words for telling ones,
+    but meets others elsewhere only by all of them together. So hosts of many and hot postal codes only pair entries whose telling
     words are alike. Pairs are compared once, whatever number of passes found them."""
     both = left.select("*", F.lit("a").alias("side")).unionByName(right.select("*", F.lit("b").alias("side")))
     both = cut(located(both))
     info = analysed(both.select("id", "words", F.col("postal").alias("place"), "site"))
-    both = cut(both.join(info, "id", "left").withColumn("family", F.coalesce("family", F.array().cast("array<string>"))).withColumn("trade", F.coalesce("trade", F.lit(""))))
+    both = both.join(info, "id", "left").withColumn("family", F.coalesce("family", F.array().cast("array<string>"))).withColumn("trade", F.coalesce("trade", F.lit("")))
+    both = cut(both.withColumn("plain", F.size("family") == 0).withColumn("family", F.when(F.col("plain"), F.array_distinct("words")).otherwise(F.col("family"))))
 
     word = F.col("word")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 3)), lambda p: F.substring(word, p, 4))
-    keyed = both.select("id", "side", "postal", "site", "mail", "phone", F.explode_outer("family").alias("word"))
+    whole = F.when(F.col("plain"), F.array_join(F.array_sort("family"), " ")).alias("whole")
+    keyed = both.select("id", "side", "postal", "site", "mail", "phone", whole, F.explode_outer("family").alias("word"))
     blocks = keyed.select(
         "id",
         "side",
@@ -123,14 +127,14 @@ def scored(left: DataFrame, right: DataFrame) -> DataFrame:
             F.when(F.col("postal").isNotNull() & word.isNotNull(), F.transform(grams, lambda g: F.concat_ws("|", F.lit("p"), "postal", g))).otherwise(F.array().cast("array<string>")),
             F.when(F.col("site").isNotNull() & word.isNotNull(), F.transform(grams, lambda g: F.concat_ws("|", F.lit("s"), "site", g))).otherwise(F.array().cast("array<string>")),
             F.when(F.col("mail").isNotNull() & word.isNotNull(), F.transform(grams, lambda g: F.concat_ws("|", F.lit("s"), "mail", g))).otherwise(F.array().cast("array<string>")),
-            F.array_compact(F.array(F.when(F.col("phone").isNotNull(), F.concat(F.lit("t|"), F.col("phone"))), F.when(F.length(word) >= 5, F.concat(F.lit("w|"), word)))),
+            F.array_compact(F.array(F.when(F.col("phone").isNotNull(), F.concat(F.lit("t|"), F.col("phone"))), F.when(F.col("whole").isNotNull(), F.when(word.isNotNull(), F.concat(F.lit("n|"), "whole"))).when(F.length(word) >= 5, F.concat(F.lit("w|"), word)))),
         ).alias("keys"),
     )
     keys = cut(blocks.select("id", "side", F.explode("keys").alias("key")).distinct())
     a = keys.where("side = 'a'").select(F.col("id").alias("a_id"), "key")
     b = keys.where("side = 'b'").select(F.col("id").alias("b_id"), "key")
     candidates = a.join(b, "key").select("a_id", "b_id").distinct()
-    told = both.select("id", "family", "trade", "postal", "site", "mail", "phone", "region")
+    told = both.select("id", "family", "plain", "trade", "postal", "site", "mail", "phone", "region")
     of = lambda s: told.select(*[F.col(c).alias(f"{s}_{c}") for c in told.columns])
     levels = cut(compared(candidates.join(of("a"), "a_id").join(of("b"), "b_id")))
     columns = [f"l_{k}" for k in LEVELS]

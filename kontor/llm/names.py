@@ -96,8 +96,9 @@ def phone_key(phone):
 
 
 def common_words(names: DataFrame, places: int = 6) -> DataFrame:
-    """word, in_site: words of many organisations (trades, given names): those met at ``places`` places or sites or
-    more. in_site: the share of their records with a site whose address contains them (trades do, given names don't).
+    """word, in_site, spread: words met at ``places`` places or sites or more, which trades, given names, chains and
+    namesakes are. in_site: the share of their records with a site whose address contains them (trades do, given names
+    don't). spread: the places or sites, whichever are more.
 
     ``names``: words, place, site. Distinct counts are pre-aggregated, so a word of a third of all rows is no
     bottleneck."""
@@ -106,19 +107,40 @@ def common_words(names: DataFrame, places: int = 6) -> DataFrame:
     held = F.when(F.col("site").isNotNull(), F.contains(plain_site, F.col("word")).cast("int"))
     pairs = rows.groupBy("word", "place", "site").agg(F.first(held).alias("held"))
     counted = pairs.groupBy("word").agg(F.count_distinct("place").alias("p"), F.count_distinct("site").alias("s"), F.avg("held").alias("in_site"))
-    return counted.where(F.greatest("p", "s") >= places).select("word", F.coalesce("in_site", F.lit(0.0)).alias("in_site"))
+    return counted.where(F.greatest("p", "s") >= places).select("word", F.coalesce("in_site", F.lit(0.0)).alias("in_site"), F.greatest("p", "s").alias("spread"))
+
+
+def of_many(names: DataFrame, met: DataFrame, known: DataFrame, share: float = 0.5, places: int = 6) -> DataFrame:
+    """The rows of ``met`` (:func:`common_words`) that are trades or given names: most places have another name beside
+    them, so the different telling words beside them are more than ``share`` of their spread. Since a chain has many
+    places of one name, they may also be ``places`` or more and ``share`` of the different names the word stands in. A
+    chain or a family name stands beside the few trades and given names of its firms, however many places it has.
+
+    ``known``: word, the words that don't count as telling: those of ``met`` and their typing errors."""
+    rows = names.select("id", F.explode(F.array_distinct("words")).alias("word")).where("length(word) > 1")
+    rows = rows.join(checked_broadcast(met.select("word", F.lit(True).alias("is_met"))), "word", "left")
+    rows = rows.join(checked_broadcast(known.select("word", F.lit(True).alias("is_known"))), "word", "left")
+    telling = F.col("is_known").isNull() & (F.length("word") >= 4)
+    beside = rows.groupBy("id").agg(F.collect_set(F.when(F.col("is_met"), F.col("word"))).alias("m"), F.collect_set(F.when(telling, F.col("word"))).alias("other"), F.array_sort(F.collect_set("word")).alias("name"))
+    beside = cut(beside.select("other", "name", F.explode("m").alias("word")))
+    told = beside.select("word", F.explode("other").alias("other")).groupBy("word").agg(F.count_distinct("other").alias("n"))
+    held = beside.groupBy("word").agg(F.count_distinct("name").alias("of"))
+    many = (F.col("n") > share * F.col("spread")) | ((F.col("n") >= places) & (F.col("n") > share * F.col("of")))
+    return met.join(told, "word").join(held, "word").where(many)
 
 
 def analysed(names: DataFrame, trade_share: float = 0.08) -> DataFrame:
     """Adds family (array of telling words) and trade (the trade words run together) to ``names``: id, words, place, site.
 
-    A word is common as :func:`common_words` has it, or within the allowed edits of a common word of five letters or
-    more (a typing error of it); common words that sites contain are trades. Words of one letter are initials."""
-    common = cut(common_words(names))
+    A word is common as :func:`common_words` and :func:`of_many` have it, or within the allowed edits of a common word of
+    five letters or more (a typing error of it); common words that sites contain are trades. Words of one letter are
+    initials."""
+    met = cut(common_words(names))
     one = lambda d: d.select(F.lit(1).alias("block"), F.col("word").alias("s")).distinct()
     words = cut(names.select(F.explode("words").alias("word")).where("length(word) > 1").distinct())
-    rare = words.join(checked_broadcast(common.select("word")), "word", "left_anti")
-    close = segment_pairs(one(rare.where("length(word) >= 5")), one(common.where("length(word) >= 5")))
+    rare = words.join(checked_broadcast(met.select("word")), "word", "left_anti")
+    close = segment_pairs(one(rare.where("length(word) >= 5")), one(met.where("length(word) >= 5")))
+    common = cut(of_many(names, met, met.select("word").unionByName(close.select(F.col("a").alias("word")).distinct())))
     close = close.join(common.withColumnRenamed("word", "b"), "b").groupBy("a").agg(F.min(F.struct("d", -F.col("in_site"), "b", "in_site")).alias("m")).select(F.col("a").alias("word"), F.col("m.b").alias("proper"), F.col("m.in_site").alias("in_site"))
     known = cut(common.select("word", F.col("word").alias("proper"), "in_site").unionByName(close))
     long = names.select("id", F.posexplode("words").alias("pos", "word")).where("length(word) > 1")

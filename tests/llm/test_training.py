@@ -108,6 +108,32 @@ def test_expectation_maximisation_finds_the_classes():
     assert all(abs(m[i][1] - 0.9) < 0.06 and abs(u[i][1] - 0.1) < 0.06 for i in range(n))
 
 
+def entries(spark, rows):
+    """Entries of (id, name, postal, domain)."""
+    df = spark.createDataFrame(rows, "entry_id bigint, name string, postal string, domain string")
+    hints = F.lit(None).cast("map<string,string>").alias("hints")
+    candidate = F.struct("name", F.col("postal").alias("postal_code"), F.lit(None).cast("string").alias("website"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), hints)
+    return df.select("entry_id", candidate.alias("candidate"), F.struct(F.lit(None).cast("string").alias("region_label"), F.lit("DE").alias("country_code")).alias("slice"), "domain", "postal")
+
+
+TRADES = ("Metallbau", "Malerbetrieb", "Druckerei", "Spedition")
+FAMILIES = ("Rabenmarn", "Hagelhulde", "Tolsonau", "Kestiwick", "Fendorell", "Marlastad", "Zinkuzak", "Brovaquist", "Wolderath", "Stenkutin", "Griskurell", "Osttimeyn")
+
+
+def firms(side: int) -> list[tuple]:
+    """Firms of four trades, each at its own place and site."""
+    return [(side + 10 * i + k, f"{t} {f}", f"{10000 + 100 * i + k}", f"{t}-{f}.example".lower()) for i, f in enumerate(FAMILIES) for k, t in enumerate(TRADES)]
+
+
+def test_chains_and_plain_names_are_linked(spark):
+    chain = [(500 + k, "Slodolbuck Druckerei", f"{50000 + 1111 * k}", "slodolbuck.example") for k in range(6)]
+    plain = [(600, "Druckerei Metallbau GmbH", "60001", None), (601, "Druckerei", "60002", None)]
+    left = entries(spark, firms(0) + chain + plain)
+    right = entries(spark, [(i + 5000, n, p, d) for i, n, p, d in firms(0) + chain + plain] + [(5999, "Metallbau", "60002", None)])
+    got = {(r.a_id, r.b_id) for r in linkage.same_place_pairs(linkage.prepared(left), linkage.prepared(right)).collect()}
+    assert got == {(i, i + 5000) for i, *_ in firms(0) + chain + plain}
+
+
 # 3
 
 
@@ -217,6 +243,14 @@ def test_segment_pairs_lose_nothing(spark):
     assert want == got
 
 
+def test_common_words_are_those_of_many_names(spark):
+    rows = [(i, names.name_words(n), p, d) for i, n, p, d in firms(0)] + [(500 + k, ["slodolbuck", "druckerei"], f"{50000 + k}", "slodolbuck.example") for k in range(40)]
+    rows += [(600 + k, [t.lower(), "namensvetter"], f"{70000 + k}", f"n{k}.example") for k, t in enumerate(TRADES * 2)]
+    got = {r.id: r.family for r in names.analysed(spark.createDataFrame(rows, "id bigint, words array<string>, place string, site string")).collect()}
+    assert {got[500 + k][0] for k in range(40)} == {"slodolbuck"} and {got[600 + k][0] for k in range(8)} == {"namensvetter"}
+    assert all(got[i] == [n.split()[1].lower()] for i, n, _, _ in firms(0))
+
+
 def test_name_words():
     assert names.name_words("Möbelwerkstätten Sören Wumont UG (haftungsbeschränkt)") == ["mobelwerkstatten", "soren", "wumont"]
     assert names.name_words("G.m.b.H. Gebr. Stahl & Söhne – Hagelmarn") == ["stahl", "sohne"]
