@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm.names import analysed, cell, host, phone_key, places_by_cell, subsequence, words_of
-from kontor.llm.segments import distance
+from kontor.llm.segments import distance, segment_pairs
 from kontor.operators.joins import checked_broadcast
 from kontor.session import cut
 
@@ -106,8 +106,9 @@ def expectation_maximisation(patterns: list[tuple[tuple, int]], rounds: int = 60
 def scored(left: DataFrame, right: DataFrame) -> DataFrame:
     """a_id, b_id, posterior and levels of every candidate pair of two prepared tables.
 
-    Blocking passes: equal postal code and four letters in a row of a telling word; equal site or mail host and four
-    letters; equal phone; equal telling word. A name of trades and given names only has all its words for telling ones,
+    Blocking passes: equal postal code, site or mail host and a telling word within the edits that :func:`compared`
+    allows (:func:`kontor.llm.segments.segment_pairs`), or four letters in a row of one, which also gives the estimation
+    the pairs of different firms it needs; equal phone; equal telling word. A name of trades and given names only has all its words for telling ones,
     but meets others elsewhere only by all of them together. So hosts of many and hot postal codes only pair entries whose telling
     words are alike. Pairs are compared once, whatever number of passes found them."""
     both = left.select("*", F.lit("a").alias("side")).unionByName(right.select("*", F.lit("b").alias("side")))
@@ -116,24 +117,24 @@ def scored(left: DataFrame, right: DataFrame) -> DataFrame:
     both = both.join(info, "id", "left").withColumn("family", F.coalesce("family", F.array().cast("array<string>"))).withColumn("trade", F.coalesce("trade", F.lit("")))
     both = cut(both.withColumn("plain", F.size("family") == 0).withColumn("family", F.when(F.col("plain"), F.array_distinct("words")).otherwise(F.col("family"))))
 
+    whole = F.when(F.col("plain"), F.array_join(F.array_sort("family"), " ")).alias("whole")
+    keyed = cut(both.select("id", "side", "postal", "site", "mail", "phone", whole, F.explode_outer("family").alias("word")))
     word = F.col("word")
+    elsewhere = F.when(F.col("whole").isNotNull(), F.when(word.isNotNull(), F.concat(F.lit("n|"), "whole"))).when(F.length(word) >= 5, F.concat(F.lit("w|"), word))
+    inside = F.array_compact(F.array(F.concat(F.lit("p|"), "postal"), F.concat(F.lit("s|"), "site"), F.concat(F.lit("s|"), "mail")))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 3)), lambda p: F.substring(word, p, 4))
-    whole = F.when(F.col("plain"), F.array_join(F.array_sort("family"), " ")).alias("whole")
-    keyed = both.select("id", "side", "postal", "site", "mail", "phone", whole, F.explode_outer("family").alias("word"))
-    blocks = keyed.select(
-        "id",
-        "side",
-        F.concat(
-            F.when(F.col("postal").isNotNull() & word.isNotNull(), F.transform(grams, lambda g: F.concat_ws("|", F.lit("p"), "postal", g))).otherwise(F.array().cast("array<string>")),
-            F.when(F.col("site").isNotNull() & word.isNotNull(), F.transform(grams, lambda g: F.concat_ws("|", F.lit("s"), "site", g))).otherwise(F.array().cast("array<string>")),
-            F.when(F.col("mail").isNotNull() & word.isNotNull(), F.transform(grams, lambda g: F.concat_ws("|", F.lit("s"), "mail", g))).otherwise(F.array().cast("array<string>")),
-            F.array_compact(F.array(F.when(F.col("phone").isNotNull(), F.concat(F.lit("t|"), F.col("phone"))), F.when(F.col("whole").isNotNull(), F.when(word.isNotNull(), F.concat(F.lit("n|"), "whole"))).when(F.length(word) >= 5, F.concat(F.lit("w|"), word)))),
-        ).alias("keys"),
-    )
-    keys = cut(blocks.select("id", "side", F.explode("keys").alias("key")).distinct())
+    lettered = F.when(word.isNotNull(), F.flatten(F.transform(inside, lambda i: F.transform(grams, lambda g: F.concat_ws("|", i, g))))).otherwise(F.array().cast("array<string>"))
+    keys = cut(keyed.select("id", "side", F.explode(F.concat(lettered, F.array_compact(F.array(F.when(F.col("phone").isNotNull(), F.concat(F.lit("t|"), F.col("phone"))), elsewhere)))).alias("key")).distinct())
     a = keys.where("side = 'a'").select(F.col("id").alias("a_id"), "key")
     b = keys.where("side = 'b'").select(F.col("id").alias("b_id"), "key")
-    candidates = a.join(b, "key").select("a_id", "b_id").distinct()
+
+    placed = cut(keyed.where("word is not null").select("id", "side", "word", F.explode(inside).alias("block")).distinct())
+    of_a = placed.where("side = 'a'").select("block", F.col("word").alias("a"), F.col("id").alias("a_id"))
+    of_b = placed.where("side = 'b'").select("block", F.col("word").alias("b"), F.col("id").alias("b_id"))
+    strings = lambda d, c: d.select("block", F.col(c).alias("s")).distinct()
+    near = segment_pairs(strings(of_a, "a"), strings(of_b, "b")).select("block", "a", "b")
+    alike = near.join(of_a, ["block", "a"]).join(of_b, ["block", "b"]).select("a_id", "b_id")
+    candidates = a.join(b, "key").select("a_id", "b_id").unionByName(alike).distinct()
     told = both.select("id", "family", "plain", "trade", "postal", "site", "mail", "phone", "region")
     of = lambda s: told.select(*[F.col(c).alias(f"{s}_{c}") for c in told.columns])
     levels = cut(compared(candidates.join(of("a"), "a_id").join(of("b"), "b_id")))

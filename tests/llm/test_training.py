@@ -134,6 +134,14 @@ def test_chains_and_plain_names_are_linked(spark):
     assert got == {(i, i + 5000) for i, *_ in firms(0) + chain + plain}
 
 
+def test_candidates_need_no_letters_in_a_row(spark):
+    left = firms(0) + [(700, "Druckerei Bleveltitt", "70001", None), (701, "Metallbau Vibrak", None, "haus.example")]
+    right = [(i + 5000, n, p, d) for i, n, p, d in firms(0)] + [(5700, "Druckerei Bleelttit", "70001", None), (5701, "Metallbau Vixrak", None, "haus.example"), (5702, "Metallbau Zumwald", None, "haus.example")]
+    pairs = linkage.scored(linkage.prepared(entries(spark, left)), linkage.prepared(entries(spark, right)))
+    got = {(r.a_id, r.b_id): r.l_name for r in pairs.where("a_id >= 700").collect()}
+    assert got == {(700, 5700): 2, (701, 5701): 2}
+
+
 # 3
 
 
