@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kontor.session import cut
+
 #: Items searched for in one pass over the corpus; more items take more passes.
 ITEMS_A_PASS = 20_000
 WORD = re.compile(r"[^\W_]+")
@@ -39,6 +41,11 @@ def normal_words(text: str | None) -> list[str]:
     return WORD.findall(text)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normal_words_of(texts: pd.Series) -> pd.Series:
+    return pd.Series([normal_words(t) for t in texts])
+
+
 class WuManber:
     """Search for many strings at once; ``find`` yields (place, string number) for every occurrence."""
 
@@ -76,7 +83,7 @@ class WuManber:
 class Leaks:
     """Finds the items whose passages a text holds."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int, share: float, gap: int):
+    def __init__(self, items: list[tuple[int, str]], least: int, share: float, gap: int, telling: set[str] | None = None):
         self.least, self.share, self.gap = least, share, gap
         self.words = {i: w for i, t in items if len(w := normal_words(t)) >= 3}
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -85,17 +92,19 @@ class Leaks:
                 at[f" {w[p]} {w[p + 1]} {w[p + 2]} "].append((i, p))
         self.places = list(at.values())
         self.search = WuManber(list(at)) if at else None
-        count = Counter(x for w in self.words.values() for x in set(w))
-        self.telling = {i: [count[x] <= 2 for x in w] for i, w in self.words.items()}
-
-    def of(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item, words of its longest passage, words of it found letter by letter) of each item with a passage."""
+        if telling is None:
+            telling = {x for x, n in Counter(x for w in self.words.values() for x in set(w)).items() if n <= 2}
+        self.telling = {i: [x in telling for x in w] for i, w in self.words.items()}
+
+    def of(self, text: str | None) -> list[tuple[int, int, int, bool, int, int]]:
+        """(item, words of its longest passage, words of it found letter by letter, whether enough telling words are among them,
+        first and last word of the text) of each item with a passage. A passage with too few telling words counts if no other
+        item has as many words in place there."""
         words = normal_words(text)
         if self.search is None or len(words) < 3:
             return []
         joined = f" {' '.join(words)} "
         hits: dict[int, set[int]] = defaultdict(set)
-        rare: set[int] = set()
         starts: dict[int, int] | None = None
         for place, k in self.search.find(joined):
             if starts is None:
@@ -104,18 +113,30 @@ class Leaks:
                     starts[pos] = n
                     pos += len(w) + 1
             n = starts[place]
-            owners = self.places[k]
-            for item, p in owners:
+            for item, p in self.places[k]:
                 hits[item].add(n - p)
-                if len(owners) <= 2:
-                    rare.add(item)
-        return [(i, *found) for i, diagonals in hits.items() if i in rare and (found := self.passage(words, i, diagonals))]
-
-    def passage(self, words: list[str], item: int, diagonals: set[int]) -> tuple[int, int] | None:
-        """Longest stretch of the item with enough words found, straight or with one insertion in the text."""
+        out = []
+        for i, diagonals in hits.items():
+            if found := self.passage(words, i, diagonals):
+                sure, plain = found
+                if sure:
+                    out.append((i, *sure[:2], True, *sure[2:]))
+                elif not any(self.in_place(words, j, hits[j], *plain[2:]) >= plain[1] for j in hits if j != i):
+                    out.append((i, *plain[:2], False, *plain[2:]))
+        return out
+
+    def in_place(self, words: list[str], item: int, diagonals: set[int], first: int, last: int) -> int:
+        """Words of the text from ``first`` to ``last`` that the item has in place."""
+        mine = self.words[item]
+        return sum(any(0 <= t - d < len(mine) and mine[t - d] == words[t] for d in diagonals) for t in range(first, last + 1))
+
+    def passage(self, words: list[str], item: int, diagonals: set[int]) -> tuple[tuple | None, tuple | None] | None:
+        """Longest stretch of the item with enough words found, straight or with one insertion in the text: the one with
+        enough telling words and, if there is none, the one without; each as words, words found, first and last word
+        of the text."""
         mine, telling, n = self.words[item], self.telling[item], len(words)
         rows = {d: [0 <= p + d < n and words[p + d] == w for p, w in enumerate(mine)] for d in diagonals}
-        tries = [rows[d] for d in rows]
+        tries = [(rows[d], 0, d, d) for d in rows]
         order = sorted(rows)
         for x, d in enumerate(order):
             for e in order[x + 1 :]:
@@ -128,9 +149,10 @@ class Leaks:
                     score += a[s] - b[s]
                     if score > best:
                         best, cut_at = score, s + 1
-                tries.append(a[:cut_at] + b[cut_at:])
-        best_found: tuple[int, int] | None = None
-        for row in tries:
+                tries.append((a[:cut_at] + b[cut_at:], cut_at, d, e))
+        sure: tuple | None = None
+        plain: tuple | None = None
+        for row, cut_at, d, e in tries:
             if sum(row) < self.least * self.share:
                 continue
             sums, tells, told = [0], [0], [0]
@@ -142,37 +164,56 @@ class Leaks:
             for i in ends:
                 for j in reversed(ends):
                     size = j - i + 1
-                    if size < self.least or (best_found and size <= best_found[0]):
+                    if size < self.least or (sure and size <= sure[0]):
                         break
                     got = sums[j + 1] - sums[i]
-                    if got >= self.share * size and 2 * (told[j + 1] - told[i]) >= max(1, tells[j + 1] - tells[i]):
-                        best_found = (size, got)
+                    if got < self.share * size:
+                        continue
+                    at = (i + (d if i < cut_at else e), j + (d if j < cut_at else e))
+                    if 2 * (told[j + 1] - told[i]) >= max(1, tells[j + 1] - tells[i]):
+                        sure = (size, got, *at)
                         break
-        return best_found
+                    if (plain is None or (got, size) > (plain[1], plain[0])):
+                        plain = (size, got, *at)
+        return (sure, plain) if sure or plain else None
 
 
 def leaked(docs: DataFrame, items: DataFrame, least: int = 12, share: float = 0.75, gap: int = 12) -> DataFrame:
     """doc_id, item_id, words, found: items of which a document holds a passage of ``least`` successive words or more.
 
     At least ``share`` of the passage's words are found in place, half of its telling words (those of two items at most)
-    and one at least among them; one insertion of up to ``gap`` words may interrupt it. Whole texts are searched where they are read; no
+    and one at least among them; a passage with fewer telling words counts if no other item has as many
+    words in place there. One insertion of up to ``gap`` words may interrupt it. Whole texts are searched where they are read; no
     shuffle but a distinct of the few results. The items are a test set of bounded size: they are read in blocks of
-    ``ITEMS_A_PASS``, each searched in a pass of its own. Null and empty texts hold nothing; repeated rows give one row.
+    ``ITEMS_A_PASS``, each searched in a pass of its own, with words counted over all. Null and empty texts hold nothing;
+    repeated rows give one row.
     """
-    schema = T.StructType([docs.select("doc_id").schema[0], items.select("item_id").schema[0], T.StructField("words", T.IntegerType()), T.StructField("found", T.IntegerType())])
+    told = [T.StructField(c, t) for c, t in (("words", T.IntegerType()), ("found", T.IntegerType()), ("sure", T.BooleanType()), ("first", T.IntegerType()), ("last", T.IntegerType()))]
+    schema = T.StructType([docs.select("doc_id").schema[0], items.select("item_id").schema[0], *told])
     ordered = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     n = ordered.count()
     passes = max(1, -(-n // ITEMS_A_PASS))
+    if passes > 1:
+        used = ordered.select("item_id", F.explode(normal_words_of("text")).alias("word")).distinct()
+        rare = cut(used.join(used.groupBy("word").agg(F.count_distinct("item_id").alias("n")).where("n <= 2"), "word"))
     out = None
     for k in range(passes):
-        block = [(r.item_id, r.text) for r in ordered.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]
+        mine = F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k
+        block = [(r.item_id, r.text) for r in ordered.where(mine).collect()]
+        telling = {r.word for r in rare.where(mine).select("word").distinct().collect()} if passes > 1 else None
 
-        def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            search = Leaks(block, least, share, gap)
+        def run(batches: Iterator[pd.DataFrame], block=block, telling=telling) -> Iterator[pd.DataFrame]:
+            search = Leaks(block, least, share, gap, telling)
             for pdf in batches:
                 rows = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in search.of(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "found"])
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "found", "sure", "first", "last"])
 
         part = docs.select("doc_id", "text").where("text is not null").mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
+    if passes > 1:
+        # an item of another pass may have as many words in place
+        out = cut(out)
+        rival = out.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("found").alias("f"), F.col("first").alias("a"), F.col("last").alias("z"))
+        beaten = (F.col("doc_id") == F.col("d")) & (F.col("item_id") != F.col("i")) & (F.col("a") <= F.col("last")) & (F.col("z") >= F.col("first")) & (F.col("f") >= F.col("found"))
+        out = out.where("sure").unionByName(out.where("not sure").join(rival, beaten, "left_anti"))
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "found")).alias("b")).select("doc_id", "item_id", "b.words", "b.found")

@@ -322,6 +322,18 @@ def test_leaks(spark):
     assert leaks.leaked(docs, items.where("false")).count() == 0
 
 
+def test_leaks_without_telling_words(spark, monkeypatch):
+    words = [f"w{chr(97 + i)}" for i in range(16)]
+    # each word stands in three items, but only the first has this order
+    items = [(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[8:] + words[7::-1]))]
+    docs = spark.createDataFrame([(1, " ".join(words[:12])), (2, " ".join(words[8:])), (3, " ".join(words[2:8] + ["other"] + words[9:14]))], "doc_id bigint, text string")
+    rows = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(1, 1), (3, 1)}
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked(docs, rows).collect()} == want
+    monkeypatch.setattr(leaks, "ITEMS_A_PASS", 1)
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked(docs, rows).collect()} == want
+
+
 # 9
 
 
