@@ -10,6 +10,7 @@ from kontor.functions.urls import registered_domain
 from kontor.operators import similarity
 from kontor.operators.graph import components
 from kontor.operators.joins import checked_broadcast
+from kontor.session import cut
 from kontor.sources.tables import table
 
 # Legal forms that no comparison of names counts.
@@ -47,18 +48,25 @@ def same_entities(spark: SparkSession, d: str) -> DataFrame:
 def fuzzy_same_place(spark: SparkSession, d: str) -> DataFrame:
     """JO-03, fuzzy part: pairs of the two sources at one postal code whose names have a token-set ratio of 92 or more.
 
-    Candidates share four letters in a row of a telling word, which at most a thousandth of all names hold (twenty at
-    least); so neither a hot postal code nor a trade makes pairs by itself."""
+    Distinct names are compared, each pair once. Candidates share four letters in a row of a telling word, which at most
+    a thousandth of all names hold (twenty at least); so neither a hot postal code nor a trade makes pairs by itself. A
+    name without such a word looks up four letters of all its words among all words of the other side."""
     rows = [table(spark, d, t).where("postal is not null and norm_name is not null").select("entry_id", "postal", "norm_name", F.lit(i).alias("side")) for i, t in enumerate(("dedup_entries", "web_entries"))]
-    words_ = rows[0].unionByName(rows[1]).select("entry_id", "postal", "norm_name", "side", F.explode(F.array_distinct(F.split("norm_name", " "))).alias("word"))
+    both = rows[0].unionByName(rows[1])
     n = rows[0].count() + rows[1].count()
-    common = words_.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(20, n // 1000)).select("word")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 3)), lambda p: F.substring(F.col("word"), p, 4))
-    keys = words_.join(checked_broadcast(common), "word", "left_anti").select("entry_id", "postal", "norm_name", "side", F.explode(F.array_distinct(grams)).alias("gram")).distinct()
-    a = keys.where("side = 0").select(F.col("entry_id").alias("osm_id"), "postal", "gram", F.col("norm_name").alias("osm_name"))
-    b = keys.where("side = 1").select(F.col("entry_id").alias("web_id"), "postal", "gram", F.col("norm_name").alias("web_name"))
-    pairs = a.join(b, ["postal", "gram"]).select("osm_id", "web_id", "osm_name", "web_name").distinct()
-    return pairs.withColumn("ratio", similarity.set_ratio("osm_name", "web_name")).where("ratio >= 92").select("osm_id", "web_id", F.round("ratio", 4).alias("ratio"))
+    common = both.select("entry_id", F.explode(F.array_distinct(F.split("norm_name", " "))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(20, n // 1000)).select("word", F.lit(True).alias("common"))
+    words_ = both.select("side", "postal", "norm_name").distinct().select("side", "postal", "norm_name", F.explode(F.array_distinct(F.split("norm_name", " "))).alias("word"))
+    words_ = words_.join(checked_broadcast(common), "word", "left")
+    names = cut(words_.groupBy("side", "postal", "norm_name").agg(F.collect_list("word").alias("every"), F.collect_list(F.when(F.col("common").isNull(), F.col("word"))).alias("rare")))
+    grams = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 3)), lambda p: F.substring(w, p, 4)))))
+    key = lambda side, c, which, name: names.where(F.col("side") == side).where(which).select("postal", F.explode(grams(c)).alias("gram"), F.col("norm_name").alias(name))
+    met = lambda c, left, right: key(0, c, left, "osm_name").join(key(1, c, right, "web_name"), ["postal", "gram"]).select("postal", "osm_name", "web_name")
+    plain, any_ = F.size("rare") == 0, F.lit(True)
+    pairs = met("rare", ~plain, ~plain).unionByName(met("every", plain, any_)).unionByName(met("every", ~plain, plain)).distinct()
+    found = pairs.withColumn("ratio", similarity.set_ratio("osm_name", "web_name")).where("ratio >= 92")
+    a = rows[0].select(F.col("entry_id").alias("osm_id"), "postal", F.col("norm_name").alias("osm_name"))
+    b = rows[1].select(F.col("entry_id").alias("web_id"), "postal", F.col("norm_name").alias("web_name"))
+    return found.join(a, ["postal", "osm_name"]).join(b, ["postal", "web_name"]).select("osm_id", "web_id", F.round("ratio", 4).alias("ratio")).distinct()
 
 
 def token_superset(spark: SparkSession, d: str) -> DataFrame:

@@ -89,3 +89,13 @@ def test_addresses_and_checks(spark):
     numbers = {"732829320": True, "732829321": False, "": False, None: None}
     df = spark.createDataFrame([(k,) for k in numbers], "n string")
     assert [r[0] for r in df.select(hints.luhn(F.col("n"))).collect()] == list(numbers.values())
+
+
+def test_equal_names_of_frequent_words_meet(spark, tmp_path):
+    from kontor.plans import joins
+
+    for t, first in (("dedup_entries", 0), ("web_entries", 1000)):
+        rows = [(first + i, "12345", "metallbau gerd") for i in range(30)] + [(first + 100 + i, f"{20000 + i}", "spedition anna") for i in range(30)]
+        spark.createDataFrame(rows, "entry_id bigint, postal string, norm_name string").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = joins.fuzzy_same_place(spark, str(tmp_path)).collect()
+    assert len(got) == len({(r.osm_id, r.web_id) for r in got}) == 30 * 30 + 30
