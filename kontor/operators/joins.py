@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has been counted and has no more rows than this.
-BROADCAST_ROWS = 200_000
+from kontor.session import cut, held_bytes
+
+#: A side is broadcast only if it takes no more bytes than this once written.
+BROADCAST_BYTES = 32 << 20
 #: Share of the rows from which a key is hot; so there can be no more than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.002
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
-
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` bytes, else as it was (the join then shuffles).
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted size allows it, else as it was (the join then shuffles)."""
-    return F.broadcast(df) if small(df, rows) else df
+    It is written to the shared folder first, unless it was before, and measured there; so it is evaluated once, whatever
+    the join then does, and no estimate decides."""
+    df = cut(df)
+    return F.broadcast(df) if held_bytes(df) <= most else df
 
 
 def hot_key_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
@@ -27,8 +28,9 @@ def hot_key_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner"
     Keys that hold more than ``share`` of ``left`` are counted after a map-side partial aggregate; there are
     at most ``1 / share`` of them, so their rows of ``right`` are broadcast and their rows of ``left`` never
     shuffle. The other rows take the usual shuffled join. ``how`` is inner or left. Null keys match nothing
-    and are kept by a left join.
+    and are kept by a left join. ``left`` is cut, as it is counted and then read for either part.
     """
+    left = cut(left)
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = left.count()
     hot = [r[0] for r in counts.where(F.col("_n") > F.lit(max(1.0, total * share))).select(key).collect()]

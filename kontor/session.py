@@ -40,18 +40,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; only where that is unset (one machine), a temporary one."""
+    """Use the folder of ``spark.checkpoint.dir``. Only a session on one machine may leave it unset; it gets a temporary
+    one, cleaned with the session. A cluster without a shared folder is an error, as no executor could read another's."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kontor-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+    """Write ``df`` to the shared checkpoint folder and go on from there; a frame that was cut already is left as it is.
 
     Used where a result is read more than once or a loop would grow its plan. The copy is on storage that
-    all executors share, so losing an executor costs nothing but its running tasks.
+    all executors share, so losing an executor costs nothing but its running tasks. The bytes written are kept beside
+    the frame (see :func:`held_bytes`).
     """
+    if held_bytes(df) is not None:
+        return df
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    done._kontor_bytes = written_bytes(done)
+    return done
+
+
+def held_bytes(df: DataFrame) -> int | None:
+    """Bytes that a frame returned by :func:`cut` takes in the shared folder; null for other frames."""
+    return getattr(df, "_kontor_bytes", None)
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a checkpointed frame, from the file system, without a job."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    path = jvm.org.apache.hadoop.fs.Path(file.get())
+    return path.getFileSystem(conf).getContentSummary(path).getLength()
