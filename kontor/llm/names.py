@@ -1,7 +1,7 @@
 """Variant spellings of organisations' names (problem 6).
 
 Method: pigeonhole segment join. The telling words of each name (not trades, given names or legal forms, which
-are recognised by the number of places they occur at) are cut into k + 1 segments, their position-shifted
+are recognised by the words they stand beside) are cut into k + 1 segments, their position-shifted
 substrings are looked up in an inverted index, and candidates are verified with the banded edit distance of
 :mod:`kontor.llm.segments`. Candidates must share a block: a town, a site, a phone number, a mailbox's domain or
 a tax number.
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kontor.llm.addresses import parsed, towns
-from kontor.llm.segments import segment_pairs
+from kontor.llm.segments import segment_pairs, similar_pairs
 from kontor.operators.graph import components
-from kontor.operators.joins import checked_broadcast
+from kontor.operators.joins import checked_broadcast, hot_key_join
 from kontor.session import cut
 
 # Legal forms, without points and accents.
@@ -110,31 +110,42 @@ def common_words(names: DataFrame, places: int = 6) -> DataFrame:
     return counted.where(F.greatest("p", "s") >= places).select("word", F.coalesce("in_site", F.lit(0.0)).alias("in_site"), F.greatest("p", "s").alias("spread"))
 
 
-def of_many(names: DataFrame, met: DataFrame, known: DataFrame, share: float = 0.5, places: int = 6) -> DataFrame:
+def of_many(names: DataFrame, met: DataFrame, known: DataFrame, share: float = 0.5, places: int = 6, broader: int = 4) -> DataFrame:
     """The rows of ``met`` (:func:`common_words`) that are trades or given names: most places have another name beside
     them, so the different telling words beside them are more than ``share`` of their spread. Since a chain has many
     places of one name, they may also be ``places`` or more and ``share`` of the different names the word stands in. A
     chain or a family name stands beside the few trades and given names of its firms, however many places it has.
 
-    ``known``: word, the words that don't count as telling: those of ``met`` and their typing errors."""
-    rows = names.select("id", F.explode(F.array_distinct("words")).alias("word")).where("length(word) > 1")
-    rows = rows.join(checked_broadcast(met.select("word", F.lit(True).alias("is_met"))), "word", "left")
-    rows = rows.join(checked_broadcast(known.select("word", F.lit(True).alias("is_known"))), "word", "left")
-    telling = F.col("is_known").isNull() & (F.length("word") >= 4)
-    beside = rows.groupBy("id").agg(F.collect_set(F.when(F.col("is_met"), F.col("word"))).alias("m"), F.collect_set(F.when(telling, F.col("word"))).alias("other"), F.array_sort(F.collect_set("word")).alias("name"))
-    beside = cut(beside.select("other", "name", F.explode("m").alias("word")))
-    told = beside.select("word", F.explode("other").alias("other")).groupBy("word").agg(F.count_distinct("other").alias("n"))
-    held = beside.groupBy("word").agg(F.count_distinct("name").alias("of"))
-    many = (F.col("n") > share * F.col("spread")) | ((F.col("n") >= places) & (F.col("n") > share * F.col("of")))
-    return met.join(told, "word").join(held, "word").where(many)
+    A word beside another is telling if it is not in ``known`` or stands in ``broader`` times fewer different names than
+    the other, so a name that many firms have still tells beside its trades. In very large tables the different telling
+    words grow slower than the places; there it is enough that ``share`` of the names of a word that stands in
+    ``broader`` times ``places`` names have one beside it.
+
+    ``known``: word, the words of ``met`` and their typing errors."""
+    rows = names.select(F.xxhash64(F.array_sort(F.array_distinct("words"))).alias("name"), F.explode(F.array_distinct("words")).alias("word")).where("length(word) > 1").distinct()
+    # words of ``met`` are all in ``known``
+    marks = known.join(checked_broadcast(met.select("word", F.lit(True).alias("is_met"))), "word", "left").withColumn("is_known", F.lit(True))
+    rows = cut(rows.join(checked_broadcast(marks), "word", "left"))
+    held = cut(rows.groupBy("word").agg(F.count(F.lit(1)).alias("of")))
+    # names are sets of words, so a frequent name is one group of a few words
+    beside = rows.join(held, "word").groupBy("name").agg(F.collect_list(F.struct("word", "of", "is_met", "is_known")).alias("w"))
+    met_words = beside.select("name", F.explode(F.filter("w", lambda x: x["is_met"].isNotNull())).alias("m"), "w")
+    tells = lambda x: (F.length(x["word"]) >= 4) & (x["word"] != F.col("m.word")) & (x["is_known"].isNull() | (x["of"] * broader <= F.col("m.of")))
+    told = cut(met_words.select("name", F.col("m.word").alias("word"), F.transform(F.filter("w", tells), lambda x: x["word"]).alias("others")))
+    counted = told.select("word", F.explode("others").alias("other")).groupBy("word").agg(F.count_distinct("other").alias("n"))
+    shares = told.groupBy("word").agg(F.avg((F.size("others") > 0).cast("int")).alias("told"))
+    n, of = F.col("n"), F.col("of")
+    many = (n > share * F.col("spread")) | ((n >= places) & (n > share * of)) | ((of >= broader * places) & (n >= places) & (F.col("told") > share))
+    return met.join(counted, "word").join(held, "word").join(shares, "word").where(many).select(met.columns)
 
 
 def analysed(names: DataFrame, trade_share: float = 0.08) -> DataFrame:
-    """Adds family (array of telling words) and trade (the trade words run together) to ``names``: id, words, place, site.
+    """id, family (array of telling words) and trade (the trade words run together) of ``names``: id, words, place, site.
 
     A word is common as :func:`common_words` and :func:`of_many` have it, or within the allowed edits of a common word of
-    five letters or more (a typing error of it); common words that sites contain are trades. Words of one letter are
-    initials."""
+    five letters or more (a typing error of it); common words that sites contain are trades. Words of two or three letters
+    tell only in names without longer telling words; words of one letter are initials. A name of common words and
+    initials only has no family word; callers take it as a whole."""
     met = cut(common_words(names))
     one = lambda d: d.select(F.lit(1).alias("block"), F.col("word").alias("s")).distinct()
     words = cut(names.select(F.explode("words").alias("word")).where("length(word) > 1").distinct())
@@ -145,11 +156,16 @@ def analysed(names: DataFrame, trade_share: float = 0.08) -> DataFrame:
     known = cut(common.select("word", F.col("word").alias("proper"), "in_site").unionByName(close))
     long = names.select("id", F.posexplode("words").alias("pos", "word")).where("length(word) > 1")
     long = long.join(checked_broadcast(known), "word", "left")
-    family = F.when(F.col("proper").isNull() & (F.length("word") >= 4), F.struct("pos", F.col("word").alias("w")))
+    own = F.struct("pos", F.col("word").alias("w"))
+    family = F.when(F.col("proper").isNull() & (F.length("word") >= 4), own)
+    brief = F.when(F.col("proper").isNull() & (F.length("word") < 4), own)
     trade = F.when(F.col("in_site") >= trade_share, F.struct("pos", F.col("proper").alias("w")))
-    grouped = long.groupBy("id").agg(F.array_sort(F.collect_list(family)).alias("f"), F.array_sort(F.collect_list(trade)).alias("t"))
-    text = lambda c: F.transform(c, lambda x: x["w"])
-    return grouped.select("id", F.array_distinct(text("f")).alias("family"), F.array_join(F.array_distinct(text("t")), "").alias("trade"))
+    listed = lambda c, name: F.array_sort(F.collect_list(c)).alias(name)
+    grouped = long.groupBy("id").agg(listed(family, "f"), listed(brief, "s"), listed(trade, "t"))
+    text = lambda c: F.array_distinct(F.transform(c, lambda x: x["w"]))
+    grouped = grouped.select("id", F.when(F.size("f") > 0, text("f")).otherwise(text("s")).alias("family"), F.array_join(text("t"), "").alias("trade"))
+    none = F.array().cast("array<string>")
+    return names.select("id").distinct().join(grouped, "id", "left").select("id", F.coalesce("family", none).alias("family"), F.coalesce("trade", F.lit("")).alias("trade"))
 
 
 def subsequence(a, b):
@@ -164,35 +180,44 @@ def trades_agree(a, b):
     return known & ((a == b) | near | subsequence(a, b) | subsequence(b, a))
 
 
+def others_agree(a, b):
+    """Whether the further telling words of two names may be the same: one side has none, holds the other's or misspells them."""
+    shorter = F.least(F.length(a), F.length(b))
+    near = F.levenshtein(a, b, 3).between(0, F.when(shorter <= 3, 0).when(shorter <= 6, 1).when(shorter <= 9, 2).otherwise(3))
+    return (a == "") | (b == "") | near | F.contains(a, b) | F.contains(b, a)
+
+
 def linked(records: DataFrame, shared_site: int = 4) -> DataFrame:
-    """id, org: the organisation of each record that has a telling word and a block.
+    """id, org: the organisation of each record that has a name and a block.
 
     ``records``: id, words, place, site, blocks (array of strings such as ``phone:1234567``); one row per name of a
     record. Two names link if they share a block, a telling word within the allowed edits and agreeing trades; a
     name without a trade links within a town only where its telling word has one trade, and always within a site.
-    Sites with ``shared_site`` telling words or more (none of which resembles another) are hosts of many and no
-    block. Links are transitive. Nodes are (block, word, trade, other telling words), so copies and hot names cost one node, and no pair
-    of records is made here. Null and blank names have no words and no organisation.
+    A name without telling words is one word, all of it run together. Sites with ``shared_site`` telling words or more
+    (none of which resembles another) are hosts of many and no block. Links are transitive. Nodes are (block, word,
+    trade, other telling words), so copies and hot names cost one node, and no pair of records is made here. Null and
+    blank names have no words and no organisation.
     """
-    info = analysed(records.groupBy("id").agg(F.flatten(F.collect_list("words")).alias("words"), F.first("place", True).alias("place"), F.first("site", True).alias("site")))
-    info = cut(info)
-    base = records.groupBy("id").agg(F.flatten(F.collect_list("blocks")).alias("blocks")).join(info, "id")
-    nodes = base.select("id", "trade", F.explode(F.array_distinct("blocks")).alias("block"), "family").select("id", "trade", "block", "family", F.explode("family").alias("word"))
+    info = cut(analysed(records.groupBy("id").agg(F.flatten(F.collect_list("words")).alias("words"), F.first("place", True).alias("place"), F.first("site", True).alias("site"))))
+    rows = records.join(info, "id")
+    whole = F.when(F.size("words") > 0, F.array(F.array_join("words", "")))
+    tell = F.when(F.size("family") > 0, F.col("family")).otherwise(whole)
+    base = rows.select("id", "trade", tell.alias("family"), F.explode(F.array_distinct("blocks")).alias("block"))
+    nodes = base.select("id", "trade", "block", "family", F.explode("family").alias("word")).where("block is not null")
     # the telling words beside this one; partners recur in other firms, so a second name must agree too
     nodes = nodes.withColumn("rest", F.array_join(F.array_sort(F.filter("family", lambda w: w != F.col("word"))), "")).drop("family")
-    nodes = cut(nodes.where("block is not null"))
-    strings = nodes.select("block", F.col("word").alias("s")).distinct()
+    nodes = cut(nodes.distinct())
+    strings = cut(nodes.select("block", F.col("word").alias("s")).distinct())
     many = strings.where("block like 'site:%'").groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared_site)
-    near_all = segment_pairs(strings, strings)
+    near = similar_pairs(strings)
     # words of one organisation resemble each other; a host of many has words that don't
-    alone = near_all.where("a <> b").select("block", F.col("a").alias("s")).distinct()
+    alone = near.select("block", F.explode(F.array("a", "b")).alias("s")).distinct()
     hosts = cut(strings.join(many, "block", "left_semi").join(alone, ["block", "s"], "left_anti").groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared_site).select("block"))
-    near = near_all.join(checked_broadcast(hosts), "block", "left_anti").where("a <= b")
+    near = near.select("block", "a", "b").unionByName(strings.select("block", F.col("s").alias("a"), F.col("s").alias("b"))).join(checked_broadcast(hosts), "block", "left_anti")
     keyed = nodes.join(checked_broadcast(hosts), "block", "left_anti").withColumn("node", F.xxhash64("block", "word", "trade", "rest"))
     sides = cut(keyed.select("block", "word", "trade", "rest", "node").distinct())
     left, right = (sides.select("block", F.col("word").alias(w), F.col("trade").alias(f"t{w}"), F.col("rest").alias(f"r{w}"), F.col("node").alias(f"n{w}")) for w in "ab")
-    second = (F.col("ra") == "") | (F.col("rb") == "") | (F.levenshtein("ra", "rb") <= 3) | F.contains("ra", "rb") | F.contains("rb", "ra")
-    pairs = cut(near.join(left, ["block", "a"]).join(right, ["block", "b"]).where("na <> nb").where(second))
+    pairs = cut(near.join(left, ["block", "a"]).join(right, ["block", "b"]).where("a <> b or na < nb").where(others_agree(F.col("ra"), F.col("rb"))))
     sure = pairs.where(trades_agree(F.col("ta"), F.col("tb")) | ((F.col("ta") == "") & (F.col("tb") == ""))).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     # a name without a trade: its only candidate trade in the block, if there is one
     open_ = pairs.where("(ta = '') <> (tb = '')").select(F.when(F.col("ta") == "", F.col("na")).otherwise(F.col("nb")).alias("bare"), F.when(F.col("ta") == "", F.col("nb")).otherwise(F.col("na")).alias("other"), F.when(F.col("ta") == "", F.col("tb")).otherwise(F.col("ta")).alias("trade"))
@@ -265,8 +290,20 @@ def organisations(pois: DataFrame, orgs: DataFrame) -> DataFrame:
     return linked(records)
 
 
-def pairs_of(groups: DataFrame, group: str) -> DataFrame:
-    """id_a, id_b (smaller first): every pair of one group, as the problem asks for them."""
+def members(groups: DataFrame, group: str) -> DataFrame:
+    """id, ``group``, links: each member once, with the number of other members of its group; grows with the members, not
+    with their pairs."""
     groups = cut(groups.select("id", group).distinct())
-    a, b = groups.select(F.col("id").alias("id_a"), group), groups.select(F.col("id").alias("id_b"), group)
-    return a.join(b, group).where("id_a < id_b").select("id_a", "id_b").distinct()
+    sizes = groups.groupBy(group).agg((F.count(F.lit(1)) - 1).alias("links"))
+    return hot_key_join(groups, sizes, group).select("id", group, "links")
+
+
+def pairs_of(groups: DataFrame, group: str) -> DataFrame:
+    """id_a, id_b (smaller first): every pair of one group, as the problem asks for them.
+
+    The members of a group are dealt into as many parts as the square root of its size, so the pairs of a large group are
+    made by many tasks: each member meets each part once, and pairs need no distinct."""
+    held = cut(members(groups, group)).withColumn("parts", F.ceil(F.sqrt(F.col("links") + 1)).cast("int")).where("links > 0")
+    a = held.select(F.col("id").alias("id_a"), group, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    b = held.select(F.col("id").alias("id_b"), group, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    return a.join(b, [group, "part"]).where("id_a < id_b").select("id_a", "id_b")
