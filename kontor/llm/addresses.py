@@ -7,7 +7,6 @@ all addresses are normalised again with them and matched again, until no new rew
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 
@@ -16,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kontor.llm.segments import segment_pairs
+from kontor.llm.segments import segment_pairs, similar_pairs
 from kontor.operators.graph import components
-from kontor.operators.joins import checked_broadcast
+from kontor.operators.joins import checked_broadcast, hot_key_join
 from kontor.session import cut
 
 # First words of parts that name a building, floor or reception, not a street.
@@ -127,95 +126,140 @@ def towns(records: DataFrame) -> DataFrame:
     return cut(both.select("id", town.alias("town")).where("town is not null"))
 
 
-def street_types(records: DataFrame, share: float = 0.0005, least: int = 3) -> list[str]:
+def street_types(records: DataFrame, share: float = 0.0015, least: int = 3) -> list[str]:
     """Words that stand beside many different street names in many places (street, rue, str.): those with at least
-    ``least`` and ``share`` of all streets as partners, and as many postcodes. Streets have few words, so the list
-    has a bound of about 4 / share."""
-    n = records.count()
-    words = records.select(F.explode("words").alias("word"), F.concat_ws(" ", "words").alias("all"), "pc").where("word <> all")
-    counted = words.groupBy("word").agg(F.count_distinct("all").alias("partners"), F.count_distinct("pc").alias("pcs"))
-    return sorted(r[0] for r in counted.where(F.least("partners", "pcs") >= max(least, n * share)).select("word").collect())
+    ``least`` partners and postcodes and ``share`` of all different streets and postcodes. Both shares are of different
+    values, so rows that say the same again change nothing. Streets have few words, so the list has a bound of about
+    4 / share."""
+    streets = records.select(F.explode("words").alias("word"), F.concat_ws(" ", "words").alias("all"), "pc").distinct()
+    n = streets.agg(F.count_distinct("all").alias("streets"), F.count_distinct("pc").alias("pcs")).first()
+    counted = streets.where("word <> all").groupBy("word").agg(F.count_distinct("all").alias("partners"), F.count_distinct("pc").alias("pcs"))
+    many = (F.col("partners") >= max(least, n.streets * share)) & (F.col("pcs") >= max(least, n.pcs * share))
+    return sorted(r[0] for r in counted.where(many).select("word").collect())
 
 
 def split_streets(records: DataFrame, types: list[str]) -> DataFrame:
-    """Adds kind (the street's type) and core (its name without it): a word of its own, or the end of a word. Where two
-    types can end the word (rg. and g.), the record has a row for each."""
+    """Adds kind (the street's type) and tokens (the words of its name without it): a word of its own, or the end of a
+    word. Where two types can end the word (rg. and g.), the record has a row for each."""
     listed = F.array(*[F.lit(t) for t in types]) if types else F.array().cast("array<string>")
     own = F.array_distinct(F.filter("words", lambda w: F.array_contains(listed, w)))
-    rest = F.array_join(F.filter("words", lambda w: ~F.array_contains(listed, w)), "")
+    rest = F.filter("words", lambda w: ~F.array_contains(listed, w))
+    joined = F.array_join(rest, "")
     ends = [t for t in sorted(types, key=len, reverse=True) if len(t) >= 2]
     # a short type without a point may be the end of any name; it is split off only as a word of its own
     ends = [t for t in ends if t.endswith(".") or len(t) >= 3]
     pattern = "|".join(re.escape(t) for t in ends) or "(?!)"
-    glued = F.regexp_extract(rest, rf"^(.{{3,}}?)({pattern})$", 2)
-    bare = F.regexp_extract(rest, rf"^(.{{3,}}?)({pattern})$", 1)
-    longer = lambda g: F.regexp_extract(rest, rf"^(.{{3,}})({pattern})$", g)
-    clean = lambda c: F.replace(F.when(c == "", F.array_join("words", "")).otherwise(c), F.lit("."), F.lit(""))
-    split = lambda kind, core: F.struct(kind.alias("kind"), clean(core).alias("core"))
-    ways = F.when(F.size(own) > 0, F.array(split(F.element_at(own, 1), rest))).when(glued != "", F.array_distinct(F.array(split(glued, bare), split(longer(2), longer(1))))).otherwise(F.array(split(F.lit(""), rest)))
+    glued = F.regexp_extract(joined, rf"^(.{{3,}}?)({pattern})$", 2)
+    longer = F.regexp_extract(joined, rf"^(.{{3,}})({pattern})$", 2)
+    # the words of the name, the last of them without the type
+    bare = lambda g: F.filter(F.transform(rest, lambda w, i: F.when(i == F.size(rest) - 1, F.substring(w, F.lit(1), F.length(w) - F.length(g))).otherwise(w)), lambda w: w != "")
+    clean = lambda c: F.when(F.size(c) == 0, F.col("words")).otherwise(c)
+    split = lambda kind, c: F.struct(kind.alias("kind"), clean(c).alias("tokens"))
+    fits = lambda g: F.length(F.element_at(rest, -1)) >= F.length(g)
+    ways = (
+        F.when(F.size(own) > 0, F.array(split(F.element_at(own, 1), rest)))
+        .when((glued != "") & fits(glued), F.array_distinct(F.array(split(glued, bare(glued)), split(F.when(fits(longer), longer).otherwise(glued), bare(F.when(fits(longer), longer).otherwise(glued))))))
+        .otherwise(F.array(split(F.lit(""), rest)))
+    )
     return records.withColumn("way", F.explode(ways)).select(*records.columns, "way.*")
 
 
-def significant(pairs: DataFrame, counts: dict[str, int], least: int = 2, g2: float = 10.83) -> list[tuple[str, str]]:
-    """Token pairs (a, b, n) whose likelihood ratio against chance exceeds ``g2`` (p < 0.001). Pairs of types are few."""
-    rows = pairs.where(F.col("n") >= least).collect()
-    total = sum(r.n for r in rows) or 1
-    side: dict[str, int] = {}
-    for r in rows:
-        side[r.a] = side.get(r.a, 0) + r.n
-        side[r.b] = side.get(r.b, 0) + r.n
-    kept = []
-    for r in rows:
-        expected = max(1e-9, side[r.a] / (2 * total) * counts.get(r.b, 1) / max(1, sum(counts.values())) * total)
-        if 2 * r.n * math.log(max(r.n / expected, 1e-9)) >= g2 and r.n >= 0.2 * min(side[r.a], side[r.b]):
-            kept.append((r.a, r.b))
-    return kept
-
-
-def same_places(records: DataFrame, max_rounds: int = 6) -> tuple[DataFrame, dict[str, list[str]]]:
+def significant(pairs: DataFrame, least: int = 2, g2: float = 10.83) -> DataFrame:
+    """short, long: token pairs of ``pairs`` (a, b, n: how many aligned pairs have them, equal tokens included) that stand
+    together more often than chance: the likelihood ratio over the four cells of the pair's table exceeds ``g2``
+    (p < 0.001), and a fifth of the rarer one's pairs with other tokens are with the other. The shorter token must
+    abbreviate the longer one."""
+    both = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    both = cut(both.groupBy("a", "b").agg(F.sum("n").alias("n")))
+    side = both.groupBy("a").agg(F.sum("n").alias("na"), F.sum(F.when(F.col("a") != F.col("b"), F.col("n"))).alias("other_a"))
+    total = both.agg(F.sum("n")).first()[0] or 1
+    rows = both.where("a <> b").where(F.col("n") >= least).join(checked_broadcast(side), "a").join(checked_broadcast(side.select(F.col("a").alias("b"), F.col("na").alias("nb"), F.col("other_a").alias("other_b"))), "b")
+    n, na, nb, t = F.col("n"), F.col("na"), F.col("nb"), F.lit(float(total))
+    cell = lambda o, r, c: F.when(o > 0, o * F.log(o * t / (r * c))).otherwise(0.0)
+    ratio = 2 * (cell(n, na, nb) + cell(na - n, na, t - nb) + cell(nb - n, t - na, nb) + cell(t - na - nb + n, t - na, t - nb))
+    rows = rows.where((n * t > na * nb) & (ratio >= g2) & (n >= 0.2 * F.least("other_a", "other_b")))
+    letters = F.split(F.replace("a", F.lit("."), F.lit("")), "")
+    begins = F.rlike(F.replace("b", F.lit("."), F.lit("")), F.concat(F.lit("^"), F.array_join(letters, ".*")))
+    size = lambda c: F.length(F.replace(c, F.lit("."), F.lit("")))
+    shorter = F.struct(size("a"), na, F.col("a")) < F.struct(size("b"), nb, F.col("b"))
+    return rows.where(shorter & begins & (F.size(letters) > 0)).select(F.col("a").alias("short"), F.col("b").alias("long"), "n")
+
+
+def token_pairs(keys: DataFrame) -> DataFrame:
+    """a, b, n: tokens of street names of one town and house number whose other tokens are the same. ``keys``: block,
+    tokens, key. A name of one token has no others and aligns with nothing."""
+    several = keys.where("size(tokens) >= 2").select("block", "key", "tokens", F.posexplode("tokens").alias("pos", "token"))
+    others = F.filter("tokens", lambda w, i: i != F.col("pos"))
+    slots = cut(several.select("block", "pos", F.array_join(others, " ").alias("others"), "token").distinct())
+    a, b = (slots.select("block", "pos", "others", F.col("token").alias(c)) for c in "ab")
+    return a.join(b, ["block", "pos", "others"]).where("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rewritten(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """``keys`` (key, tokens) whose tokens the rules (short, long, n) change, with the tokens that they become."""
+    best = rules.groupBy("short").agg(F.max_by("long", "n").alias("long"))
+    told = keys.select("key", F.posexplode("tokens").alias("pos", "short")).join(checked_broadcast(best), "short", "left")
+    after = told.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("long", "short").alias("w")))).alias("t"), F.max(F.col("long").isNotNull()).alias("moved"))
+    return after.where("moved").select("key", F.transform("t", lambda x: x["w"]).alias("tokens"))
+
+
+def same_places(records: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, dict[str, list[str]]]:
     """id, place of each record with a street and a town; and the mined rewrites of street types.
 
     ``records``: id, text, pc_given. A place is a town, a house number with its letter and a street: the same type
-    after rewriting (or none told), names within :func:`allowed_edits`; a street with a misspelt type is compared whole. Null, empty and incomplete texts have no
-    place. Equal texts are one key; candidates are looked up by segments within (town, number).
+    after rewriting (or none told), names within :func:`allowed_edits`; a street with a misspelt type is compared whole.
+    Rewrites are mined of types (from keys with names alike) and of the tokens of names (from keys that agree in all
+    other tokens); each round normalises the names again, matches the changed ones again and mines again, until no rewrite
+    is new; raises if ``max_rounds`` don't suffice. Null, empty and incomplete texts have no place. Equal texts are one
+    key, so repeated rows change no count; candidates are looked up by segments within (town, number).
     """
-    base = records.where("text is not null").select("id", parsed("text", "pc_given").alias("p")).select("id", "p.*")
-    base = cut(base)
+    base = cut(records.where("text is not null").select("id", parsed("text", "pc_given").alias("p")).select("id", "p.*"))
     located = base.where("size(words) > 0 and num <> ''").join(towns(base), "id")
-    located = cut(split_streets(located, street_types(base.where("size(words) > 0"))).select("id", "town", "num", "kind", "core"))
-    keys = cut(located.groupBy("town", "num", "kind", "core").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("key")))
-    block = F.concat_ws("|", "town", "num")
-    strings = keys.select(block.alias("block"), F.col("core").alias("s")).distinct()
-    near = segment_pairs(strings, strings)
-    near = near.where("a <= b")
-    sides = lambda c: keys.select(block.alias("block"), F.col("core").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("key").alias(f"key_{c}"), F.col("n").alias(f"n_{c}"))
-    alike = cut(near.join(sides("a"), ["block", "a"]).join(sides("b"), ["block", "b"]).where("key_a <> key_b"))
+    located = split_streets(located, street_types(base.where("size(words) > 0")))
+    name = lambda: F.replace(F.array_join("tokens", ""), F.lit("."), F.lit(""))
+    located = cut(located.select("id", F.concat_ws("|", "town", "num").alias("block"), "kind", "tokens", F.concat_ws("|", "town", "num", "kind", F.array_join("tokens", " ")).alias("k")))
+    keys = cut(located.groupBy("k").agg(F.first("block").alias("block"), F.first("kind").alias("kind"), F.first("tokens").alias("tokens"), F.min("id").alias("key")))
+    # two readings of one record are two keys
+    keys = cut(keys.withColumn("key", F.xxhash64("k")))
+
+    def matched(of: DataFrame, near: DataFrame) -> DataFrame:
+        sides = lambda c: of.select("block", F.col("core").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("key").alias(f"key_{c}"))
+        return near.join(sides("a"), ["block", "a"]).join(sides("b"), ["block", "b"]).where("key_a <> key_b").select("kind_a", "kind_b", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), (F.col("key_a") < F.col("key_b")).alias("straight"))
+
+    now = cut(keys.select("block", "kind", "key", "tokens", name().alias("core")))
+    strings = now.select("block", F.col("core").alias("s")).distinct()
+    near = similar_pairs(strings).select("block", "a", "b").unionByName(strings.select("block", F.col("s").alias("a"), F.col("s").alias("b")))
+    alike = cut(matched(now, near).select("kind_a", "kind_b", "key_a", "key_b").distinct())
     rewrites: dict[str, list[str]] = {}
-    counts = {r.kind: r.n for r in keys.groupBy("kind").agg(F.sum("n").alias("n")).where("kind <> ''").collect()}
-
-    def agree():
-        told = F.create_map(*[x for k, v in rewrites.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if rewrites else None
-        forms = lambda c: F.concat(F.array(F.col(c)), F.coalesce(told[F.col(c)], F.array())) if rewrites else F.array(F.col(c))
-        return F.arrays_overlap(forms("kind_a"), forms("kind_b")) | (F.col("kind_a") == "") | (F.col("kind_b") == "")
-
+    rules = None
     for _ in range(max_rounds):
-        pairs = alike.where(~agree()).groupBy(F.least("kind_a", "kind_b").alias("a"), F.greatest("kind_a", "kind_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        new = 0
-        for a, b in significant(pairs, counts):
-            short, long = sorted((a, b), key=lambda x: (len(x), counts.get(x, 0)))
-            if abbreviates(short, long) and long not in rewrites.get(short, []):
-                rewrites.setdefault(short, []).append(long)
-                new += 1
-        if not new:
-            break
-    edges = alike.where(agree()).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    edges = edges.unionByName(untyped_pairs(keys, rewrites))
-    mine = located.join(keys, ["town", "num", "kind", "core"]).select("id", "key")
+        kinds = alike.where("kind_a <> '' and kind_b <> ''").groupBy(F.least("kind_a", "kind_b").alias("a"), F.greatest("kind_a", "kind_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        # street types are few (see street_types)
+        for r in significant(kinds).collect():
+            if r.long not in rewrites.get(r.short, []):
+                rewrites.setdefault(r.short, []).append(r.long)
+        mined = significant(token_pairs(now))
+        mined = cut(mined if rules is None else mined.join(checked_broadcast(rules.select("short", "long")), ["short", "long"], "left_anti"))
+        if mined.limit(1).count() == 0:
+            break  # names and so pairs stay as they are: mining them again would find the same
+        rules = mined if rules is None else rules.unionByName(mined)
+        changed = cut(rewritten(now.select("key", "tokens"), rules).join(keys.select("key", "block", "kind"), "key").select("block", "kind", "key", "tokens", name().alias("core")))
+        now = cut(now.join(changed.select("key"), "key", "left_anti").select("block", "kind", "key", "tokens", "core").unionByName(changed))
+        again = segment_pairs(changed.select("block", F.col("core").alias("s")).distinct(), now.select("block", F.col("core").alias("s")).distinct()).select("block", "a", "b")
+        alike = cut(alike.unionByName(matched(now, again).select("kind_a", "kind_b", "key_a", "key_b")).distinct())
+    else:
+        raise RuntimeError(f"new rewrites still appeared after {max_rounds} rounds")
+    told = F.create_map(*[x for k, v in rewrites.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if rewrites else None
+    forms = lambda c: F.concat(F.array(F.col(c)), F.coalesce(told[F.col(c)], F.array())) if rewrites else F.array(F.col(c))
+    agree = F.arrays_overlap(forms("kind_a"), forms("kind_b")) | (F.col("kind_a") == "") | (F.col("kind_b") == "")
+    edges = alike.where(agree).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    edges = edges.unionByName(untyped_pairs(now, rewrites))
+    mine = cut(hot_key_join(located.select("id", "k"), keys.select("k", "key"), "k").select("id", "key").distinct())
     # the keys of a record with two readings are one
     edges = edges.unionByName(mine.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("a", "b"))
     grouped = components(edges.unionByName(keys.select(F.col("key").alias("a"), F.col("key").alias("b"))))
-    of = keys.join(grouped, F.col("key") == F.col("node")).select("town", "num", "kind", "core", F.col("component").alias("place"))
-    return located.join(of, ["town", "num", "kind", "core"]).groupBy("id").agg(F.min("place").alias("place")), rewrites
+    of = hot_key_join(mine, grouped.withColumnRenamed("node", "key"), "key")
+    return of.groupBy("id").agg(F.min("component").alias("place")), rewrites
 
 
 def untyped_pairs(keys: DataFrame, rewrites: dict[str, list[str]]) -> DataFrame:
@@ -223,24 +267,8 @@ def untyped_pairs(keys: DataFrame, rewrites: dict[str, list[str]]) -> DataFrame:
     included, in full and on either side of the name."""
     told = F.create_map(*[x for k, v in rewrites.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if rewrites else None
     forms = F.coalesce(told[F.col("kind")], F.array("kind")) if rewrites else F.array("kind")
-    block = F.concat_ws("|", "town", "num")
-    bare = keys.where("kind = ''").select(block.alias("block"), F.col("core").alias("s"), F.col("key").alias("a"))
-    full = keys.where("kind <> ''").select(block.alias("block"), "core", F.col("key").alias("b"), F.explode(forms).alias("form"))
+    bare = keys.where("kind = ''").select("block", F.col("core").alias("s"), F.col("key").alias("a"))
+    full = keys.where("kind <> ''").select("block", "core", F.col("key").alias("b"), F.explode(forms).alias("form"))
     full = full.withColumn("form", F.replace("form", F.lit("."), F.lit(""))).select("block", "b", F.explode(F.array(F.concat("core", "form"), F.concat("form", "core"))).alias("t"))
     near = segment_pairs(bare.select("block", "s").distinct(), full.select("block", F.col("t").alias("s")).distinct()).select("block", F.col("a").alias("s"), F.col("b").alias("t"))
     return near.join(bare, ["block", "s"]).join(full, ["block", "t"]).select("a", "b").distinct()
-
-
-def abbreviates(short: str, long: str) -> bool:
-    """Whether the letters of ``short`` stand in ``long`` in this order, from its first letter."""
-    it = iter(long.replace(".", ""))
-    letters = short.replace(".", "")
-    return bool(letters) and long.startswith(letters[0]) and all(c in it for c in letters)
-
-
-def place_pairs(records: DataFrame) -> DataFrame:
-    """id_a, id_b (smaller first): every pair of records of one place, as the problem asks for them."""
-    places, _ = same_places(records)
-    places = cut(places)
-    a, b = places.select(F.col("id").alias("id_a"), "place"), places.select(F.col("id").alias("id_b"), "place")
-    return a.join(b, "place").where("id_a < id_b").select("id_a", "id_b").distinct()

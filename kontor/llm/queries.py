@@ -44,10 +44,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_matches(spark, d).select("osm_entry_id", "web_entry_id")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     orgs = table(spark, d, "jsonld_orgs").select(F.col("org_id").alias("id"), F.col("address_text").alias("text"), F.col("postal_code").alias("pc_given"))
     legal = table(spark, d, "address_results").select(F.col("addr_id").alias("id"), F.col("address").alias("text"), F.col("postal_code").alias("pc_given"))
-    return p3.place_pairs(orgs.unionByName(legal))
+    return p3.same_places(orgs.unionByName(legal))[0]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6.pairs_of(p3_groups(spark, d), "place")
+
+
+def p3_places(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with its place and the number of other records there: the linear form of p3_found."""
+    return p6.members(p3_groups(spark, d), "place")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +71,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_reasons(spark, d).select("page_id")
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return p6.organisations(table(spark, d, "poi_elements"), table(spark, d, "jsonld_orgs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6.pairs_of(p6.organisations(table(spark, d, "poi_elements"), table(spark, d, "jsonld_orgs")), "org")
+    return p6.pairs_of(p6_groups(spark, d), "org")
+
+
+def p6_orgs(spark: SparkSession, d: str) -> DataFrame:
+    """Each named record with its organisation and the number of other records of it: the linear form of p6_found."""
+    return p6.members(p6_groups(spark, d), "org")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -93,10 +111,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_matches": p2_matches,
     "p3_found": p3_found,
+    "p3_places": p3_places,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_reasons": p5_reasons,
     "p6_found": p6_found,
+    "p6_orgs": p6_orgs,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
