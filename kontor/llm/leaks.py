@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ from kontor.session import cut
 
 #: Items searched for in one pass over the corpus; more items take more passes.
 ITEMS_A_PASS = 20_000
+#: The last search that this Python worker built, by the number of its block.
+BUILT: dict[str, Leaks] = {}
 WORD = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&(?:[a-z]{2,8}|#\d{1,6});|­|[​-‍﻿⁠]|-\r?\n\s*(?=[a-zäöüß])")
 BREAK = re.compile(r"</?(?:p|br|div|li|td|tr|h\d|ul|ol)\b[^<>]{0,200}>", re.I)
@@ -81,32 +85,25 @@ class WuManber:
 
 
 class Leaks:
-    """Finds the items whose passages a text holds."""
+    """Finds the items whose passages a text holds. ``items``: (item, its words)."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int, share: float, gap: int, telling: set[str] | None = None):
+    def __init__(self, items: list[tuple[int, list[str]]], least: int, share: float, gap: int):
         self.least, self.share, self.gap = least, share, gap
-        self.words = {i: w for i, t in items if len(w := normal_words(t)) >= 3}
+        self.words = {i: w for i, w in items if len(w) >= 3}
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.words.items():
             for p in range(len(w) - 2):
                 at[f" {w[p]} {w[p + 1]} {w[p + 2]} "].append((i, p))
         self.places = list(at.values())
         self.search = WuManber(list(at)) if at else None
-        if telling is None:
-            telling = {x for x, n in Counter(x for w in self.words.values() for x in set(w)).items() if n <= 2}
-        self.telling = {i: [x in telling for x in w] for i, w in self.words.items()}
-
-    def of(self, text: str | None) -> list[tuple[int, int, int, bool, int, int]]:
-        """(item, words of its longest passage, words of it found letter by letter, whether enough telling words are among them,
-        first and last word of the text) of each item with a passage. A passage with too few telling words counts if no other
-        item has as many words in place there."""
-        words = normal_words(text)
+
+    def hits(self, words: list[str]) -> dict[int, set[int]]:
+        """Diagonals (place in the text less place in the item) of the windows of each item that the text holds."""
+        found: dict[int, set[int]] = defaultdict(set)
         if self.search is None or len(words) < 3:
-            return []
-        joined = f" {' '.join(words)} "
-        hits: dict[int, set[int]] = defaultdict(set)
+            return found
         starts: dict[int, int] | None = None
-        for place, k in self.search.find(joined):
+        for place, k in self.search.find(f" {' '.join(words)} "):
             if starts is None:
                 starts, pos = {}, 0
                 for n, w in enumerate(words):
@@ -114,29 +111,33 @@ class Leaks:
                     pos += len(w) + 1
             n = starts[place]
             for item, p in self.places[k]:
-                hits[item].add(n - p)
+                found[item].add(n - p)
+        return found
+
+    def of(self, text: str | None) -> list[tuple[int, int, int, list[int], list[str]]]:
+        """(item, words of its longest passage, words of it found in place, the places of the passage's words in the text and
+        the words) of each item with a passage that no other item here outdoes."""
+        words = normal_words(text)
+        hits = self.hits(words)
         out = []
         for i, diagonals in hits.items():
-            if found := self.passage(words, i, diagonals):
-                sure, plain = found
-                if sure:
-                    out.append((i, *sure[:2], True, *sure[2:]))
-                elif not any(self.in_place(words, j, hits[j], *plain[2:]) >= plain[1] for j in hits if j != i):
-                    out.append((i, *plain[:2], False, *plain[2:]))
+            for size, got, at in self.passages(words, i, diagonals):
+                mine, there = [self.words[i][p] for p, _ in at], [t for _, t in at]
+                if got == size or not self.outdone(i, mine, there, words, hits):
+                    out.append((i, size, got, there, mine))
+                    break
         return out
 
-    def in_place(self, words: list[str], item: int, diagonals: set[int], first: int, last: int) -> int:
-        """Words of the text from ``first`` to ``last`` that the item has in place."""
-        mine = self.words[item]
-        return sum(any(0 <= t - d < len(mine) and mine[t - d] == words[t] for d in diagonals) for t in range(first, last + 1))
+    def outdone(self, item: int, mine: list[str], there: list[int], words: list[str], hits: dict[int, set[int]]) -> bool:
+        """Whether another item speaks against a passage (see :func:`told_apart`)."""
+        return any(told_apart(mine, there, words, self.words[j], d) for j, d in hits.items() if j != item)
 
-    def passage(self, words: list[str], item: int, diagonals: set[int]) -> tuple[tuple | None, tuple | None] | None:
-        """Longest stretch of the item with enough words found, straight or with one insertion in the text: the one with
-        enough telling words and, if there is none, the one without; each as words, words found, first and last word
-        of the text."""
-        mine, telling, n = self.words[item], self.telling[item], len(words)
+    def passages(self, words: list[str], item: int, diagonals: set[int]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """Longest stretches of the item with enough words found, straight or with one insertion in the text: their words,
+        those found, and the (place in the item, place in the text) of each; the longest first."""
+        mine, n = self.words[item], len(words)
         rows = {d: [0 <= p + d < n and words[p + d] == w for p, w in enumerate(mine)] for d in diagonals}
-        tries = [(rows[d], 0, d, d) for d in rows]
+        tries = [(row, len(mine), d, d) for d, row in rows.items()]
         order = sorted(rows)
         for x, d in enumerate(order):
             for e in order[x + 1 :]:
@@ -149,71 +150,94 @@ class Leaks:
                     score += a[s] - b[s]
                     if score > best:
                         best, cut_at = score, s + 1
-                tries.append((a[:cut_at] + b[cut_at:], cut_at, d, e))
-        sure: tuple | None = None
-        plain: tuple | None = None
+                if 0 < cut_at < len(mine):
+                    tries.append((a[:cut_at] + b[cut_at:], cut_at, d, e))
+        found = []
         for row, cut_at, d, e in tries:
             if sum(row) < self.least * self.share:
                 continue
-            sums, tells, told = [0], [0], [0]
-            for r, t in zip(row, telling, strict=True):
+            sums = [0]
+            for r in row:
                 sums.append(sums[-1] + r)
-                tells.append(tells[-1] + t)
-                told.append(told[-1] + (r and t))
             ends = [p for p, r in enumerate(row) if r]
+            most: tuple[int, int, int] | None = None
             for i in ends:
                 for j in reversed(ends):
                     size = j - i + 1
-                    if size < self.least or (sure and size <= sure[0]):
+                    if size < self.least or (most and size <= most[0]):
                         break
-                    got = sums[j + 1] - sums[i]
-                    if got < self.share * size:
-                        continue
-                    at = (i + (d if i < cut_at else e), j + (d if j < cut_at else e))
-                    if 2 * (told[j + 1] - told[i]) >= max(1, tells[j + 1] - tells[i]):
-                        sure = (size, got, *at)
+                    if sums[j + 1] - sums[i] >= self.share * size:
+                        most = (size, i, j)
                         break
-                    if (plain is None or (got, size) > (plain[1], plain[0])):
-                        plain = (size, got, *at)
-        return (sure, plain) if sure or plain else None
+            if most:
+                size, i, j = most
+                found.append((size, sums[j + 1] - sums[i], [(p, p + (d if p < cut_at else e)) for p in range(i, j + 1)]))
+        return sorted(found, key=lambda f: (f[0], f[1]), reverse=True)
+
+
+def told_apart(mine: list[str], there: list[int], words: list[str], other: list[str], diagonals: set[int]) -> bool:
+    """Whether the text speaks against a passage because of another item with words in the same place: more than half of the
+    words in which the two items differ there are missing. So wording that both share stands for neither, while an equal
+    item differs in none and takes nothing away."""
+    differ = missing = 0
+    for word, t in zip(mine, there, strict=True):
+        if not any(0 <= t - d < len(other) and other[t - d] == word for d in diagonals):
+            differ += 1
+            missing += words[t] != word
+    return 2 * missing > differ
+
+
+def searcher(number: str, sent, least: int, share: float, gap: int) -> Leaks:
+    """The search for one broadcast block of items, built once by a Python worker and not again by each task."""
+    if number not in BUILT:
+        BUILT.clear()
+        BUILT[number] = Leaks(sent.value, least, share, gap)
+    return BUILT[number]
 
 
 def leaked(docs: DataFrame, items: DataFrame, least: int = 12, share: float = 0.75, gap: int = 12) -> DataFrame:
     """doc_id, item_id, words, found: items of which a document holds a passage of ``least`` successive words or more.
 
-    At least ``share`` of the passage's words are found in place, half of its telling words (those of two items at most)
-    and one at least among them; a passage with fewer telling words counts if no other item has as many
-    words in place there. One insertion of up to ``gap`` words may interrupt it. Whole texts are searched where they are read; no
-    shuffle but a distinct of the few results. The items are a test set of bounded size: they are read in blocks of
-    ``ITEMS_A_PASS``, each searched in a pass of its own, with words counted over all. Null and empty texts hold nothing;
-    repeated rows give one row.
+    At least ``share`` of the passage's words are found in place; one insertion of up to ``gap`` words may interrupt it. A
+    passage found word by word always counts, whoever else has it, and equal items leak together; one with replaced words
+    counts unless another item speaks against it (:func:`told_apart`), however many items there are. Whole texts are
+    searched where they are read; no shuffle but a distinct of the few results. The items are a test set of bounded size:
+    they are read in blocks of ``ITEMS_A_PASS`` and broadcast, each searched in a pass of its own; with several passes the
+    documents with a passage of replaced words are read again for rivals of other blocks. Null and empty texts hold
+    nothing; repeated rows give one row.
     """
-    told = [T.StructField(c, t) for c, t in (("words", T.IntegerType()), ("found", T.IntegerType()), ("sure", T.BooleanType()), ("first", T.IntegerType()), ("last", T.IntegerType()))]
-    schema = T.StructType([docs.select("doc_id").schema[0], items.select("item_id").schema[0], *told])
-    ordered = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    n = ordered.count()
-    passes = max(1, -(-n // ITEMS_A_PASS))
-    if passes > 1:
-        used = ordered.select("item_id", F.explode(normal_words_of("text")).alias("word")).distinct()
-        rare = cut(used.join(used.groupBy("word").agg(F.count_distinct("item_id").alias("n")).where("n <= 2"), "word"))
-    out = None
+    spark = docs.sparkSession
+    ids = [docs.select("doc_id").schema[0], items.select("item_id").schema[0]]
+    told = [T.StructField("words", T.IntegerType()), T.StructField("found", T.IntegerType()), T.StructField("there", T.ArrayType(T.IntegerType())), T.StructField("mine", T.ArrayType(T.StringType()))]
+    said = cut(items.select("item_id", "text").where("item_id is not null and text is not null").distinct().select("item_id", normal_words_of("text").alias("said")))
+    passes = max(1, -(-said.count() // ITEMS_A_PASS))
+    blocks = []
     for k in range(passes):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k
-        block = [(r.item_id, r.text) for r in ordered.where(mine).collect()]
-        telling = {r.word for r in rare.where(mine).select("word").distinct().collect()} if passes > 1 else None
-
-        def run(batches: Iterator[pd.DataFrame], block=block, telling=telling) -> Iterator[pd.DataFrame]:
-            search = Leaks(block, least, share, gap, telling)
-            for pdf in batches:
-                rows = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in search.of(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "found", "sure", "first", "last"])
-
-        part = docs.select("doc_id", "text").where("text is not null").mapInPandas(run, schema)
+        block = [(r.item_id, r.said) for r in said.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]
+        blocks.append((uuid4().hex, spark.sparkContext.broadcast(block)))
+
+    def passages(batches: Iterator[pd.DataFrame], number: str, sent) -> Iterator[pd.DataFrame]:
+        search = searcher(number, sent, least, share, gap)
+        for pdf in batches:
+            rows = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in search.of(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "found", "there", "mine"])
+
+    def undone(batches: Iterator[pd.DataFrame], number: str, sent) -> Iterator[pd.DataFrame]:
+        search = searcher(number, sent, least, share, gap)
+        for pdf in batches:
+            words = [normal_words(t) for t in pdf["text"]]
+            stays = [not search.outdone(i, list(m), list(a), w, search.hits(w)) for i, m, a, w in zip(pdf["item_id"], pdf["mine"], pdf["there"], words, strict=True)]
+            yield pdf.drop(columns="text")[stays]
+
+    texts = docs.select("doc_id", "text").where("text is not null")
+    out = None
+    for number, sent in blocks:
+        part = texts.mapInPandas(partial(passages, number=number, sent=sent), T.StructType(ids + told))
         out = part if out is None else out.unionByName(part)
     if passes > 1:
-        # an item of another pass may have as many words in place
         out = cut(out)
-        rival = out.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("found").alias("f"), F.col("first").alias("a"), F.col("last").alias("z"))
-        beaten = (F.col("doc_id") == F.col("d")) & (F.col("item_id") != F.col("i")) & (F.col("a") <= F.col("last")) & (F.col("z") >= F.col("first")) & (F.col("f") >= F.col("found"))
-        out = out.where("sure").unionByName(out.where("not sure").join(rival, beaten, "left_anti"))
+        open_ = out.where("found < words")
+        for number, sent in blocks:
+            open_ = cut(open_.join(texts, "doc_id").mapInPandas(partial(undone, number=number, sent=sent), T.StructType(ids + told)))
+        out = out.where("found = words").unionByName(open_)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "found")).alias("b")).select("doc_id", "item_id", "b.words", "b.found")

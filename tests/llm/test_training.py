@@ -328,12 +328,26 @@ def test_leaks_without_telling_words(spark, monkeypatch):
     items = [(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[8:] + words[7::-1]))]
     docs = spark.createDataFrame([(1, " ".join(words[:12])), (2, " ".join(words[8:])), (3, " ".join(words[2:8] + ["other"] + words[9:14]))], "doc_id bigint, text string")
     rows = spark.createDataFrame(items, "item_id bigint, text string")
+    # eight words of the last item and one more are no passage; replaced words leave the first item's order to it alone
     want = {(1, 1), (3, 1)}
     assert {(r.doc_id, r.item_id) for r in leaks.leaked(docs, rows).collect()} == want
     monkeypatch.setattr(leaks, "ITEMS_A_PASS", 1)
     assert {(r.doc_id, r.item_id) for r in leaks.leaked(docs, rows).collect()} == want
 
 
+@pytest.mark.parametrize(("count", "copies"), [(50, 3), (2000, 1), (20000, 1)])
+def test_leaks_whatever_the_number_of_items(spark, count, copies):
+    rng = random.Random(count)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("lum", "rek", "sil", "nat", "gor", "pid", "vem", "xun")] * 6
+    items = [(i, [f"{rng.choice(vocabulary)}{rng.randint(0, 5)}" for _ in range(16)]) for i in range(count)]
+    fill = " ".join(rng.choice(vocabulary) for _ in range(30))
+    docs = [(i, f"{fill} {' '.join(w)} {fill}") for i, w in items[:60]]
+    docs += [(1000 + i, f"{fill} {' '.join(x if k not in (4, 9) else 'other' for k, x in enumerate(w))} {fill}") for i, w in items[:60]]
+    rows = [(i + 100_000 * c, " ".join(w)) for i, w in items for c in range(copies)]
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(rows, "item_id bigint, text string")).collect()}
+    assert got == {(d, d % 1000 + 100_000 * c) for d, _ in docs for c in range(copies)}
+
+
 # 9
 
 
