@@ -1,10 +1,11 @@
 """Personal information in free text (problem 9).
 
-Method: information-theoretic sanitisation. Addresses of mailboxes, phone and identity numbers and postal addresses
-have forms of their own. For names, the corpus tells how strongly a term reveals a person: the words before a
-name-shaped span, and its given name, are scored by the information (in bits) that they carry about spans whose name
-also stands in a mailbox of the same text. Spans whose terms exceed the disclosure threshold are persons. Found spans
-are replaced by typed placeholders.
+Method: information-theoretic sanitisation. The corpus tells how strongly the words before a span (its frame) reveal a
+protected kind. Mailboxes, phone and identity numbers and postal addresses are candidates by their form, which may be
+sure, likely or weak; what their frame tells is the log-odds, in bits, of sure against weak forms behind it in the whole
+corpus, and form and frame together must exceed the disclosure threshold. For names, frames and given names are scored
+by the bits they carry about spans whose name also stands in a mailbox of the same text. What exceeds the threshold is
+generalised to a typed placeholder, cut by position.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ PHONE_CUE = regex.compile(
 )
 REGISTER = regex.compile(r"\b(?:RCS|SIREN|SIRET|HR[AB]|Registergericht|Registro Mercantil)\b[^\d\n]{0,80}$")
 DATE = regex.compile(r"^\d{1,2}([./-])\d{1,2}\1\d{2,4}$")
-REFERENCE = regex.compile(r"(?i)(?:\b(?:nr|no|n[°º]|artikel|part|pi[èe]ce|pieza|quote|angebot|devis|presupuesto|order|auftrag|bestellung|commande|pedido|r[ée]f[ée]rence|referencia|referenz|lieferschein|delivery note|bon|albar[áa]n|pr[üu]fbericht|load test|essai|ensayo|hrb|hra|rcs|siret|siren|tomo|hoja|vat|ust-idnr|company|ma[ßs]e|din|fehler|error|grid ref|version|build|iban|konto|position|line)\b[.:°º]*\s*(?:n[°º.]|nr\.?|no\.?)?\s*(?:\w{1,2}-)?)$")
+NUMBER = regex.compile(r"(?<![\p{L}\d+/-])(?:\p{Lu}{1,2}-)?\d(?:[ ./-]?\d){5,14}(?![\p{L}\d])")
 
 NUM = r"\d{1,4}(?:[ ]?[a-zA-Z](?![\p{L}\p{M}\d.]))?(?:[ ]?[-/][ ]?\d{1,4}[a-z]?)?(?![\d])"
 UP = r"[\p{Lu}]"
@@ -62,6 +63,7 @@ CODE = r"(?:[A-Z]{1,2}[ ]?[-–][ ]?)?(?:\d{5}|\d{4}|\d{2}[ ]\d{3})(?!\d)"
 CODE_GB = r"[A-Z]{1,2}\d{1,2}[A-Z]?[ ]?\d[A-Z]{2}\b"
 GAP = r"(?:[ \t]*[,;|/·][ \t]*(?:\r?\n[ \t]*)?|[ \t]*\r?\n[ \t]*|[ \t]+[–-][ \t]+|[ \t](?:in|à|en)[ \t]|[ \t]{1,2})"
 AFTER = rf"(?:{GAP}(?:{CODE}[ ]{{1,2}}{PLACE}|{CODE_GB}[ ]{{1,2}}{PLACE}|{PLACE}{GAP}{CODE_GB}|{CODE}(?![.,]?\d)))?"
+CODED = regex.compile(rf"(?<!\d)(?:\d{{5}}|\d{{4}}|\d{{2}}[ ]\d{{3}})(?!\d)|{CODE_GB}")
 ADDRESS = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d])(?:{STREET_DE}|{STREET_ES}|{STREET_FR}|{STREET_GB}){AFTER}")
 
 NAME = rf"{UP}(?:[\p{{Ll}}\p{{M}}’'][\p{{L}}\p{{M}}’']*|[\p{{Lu}}\p{{M}}’']+)"
@@ -97,32 +99,55 @@ def mail_spans(text: str) -> Iterator[tuple[int, int]]:
             yield a, domain.end()
 
 
-def formal_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of mailboxes, identity numbers, addresses and phone numbers; they don't overlap."""
-    taken: list[tuple[str, int, int]] = []
+#: What the form of a span tells by itself, in bits: a label or an own sign; the shape alone; a shape with signs against it.
+SURE, LIKELY, WEAK = 6.0, 2.0, -4.0
+
 
-    def add(kind: str, a: int, b: int) -> None:
-        if a < b and all(b <= x or a >= y for _, x, y in taken):
-            taken.append((kind, a, b))
+def formal_candidates(text: str) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, bits of its form) of what may be mailboxes, identity numbers, addresses and phone numbers; they
+    don't overlap."""
+    taken: list[tuple[str, int, int, float]] = []
 
+    def add(kind: str, a: int, b: int, bits: float) -> None:
+        if a < b and all(b <= x or a >= y for _, x, y, _ in taken):
+            taken.append((kind, a, b, bits))
+
+    weak: list[tuple[str, int, int]] = []
     for a, b in mail_spans(text):
-        if not FILE.search(text[a:b]):
-            add("email", a, b)
-    for m in ID.finditer(text):
+        if FILE.search(text[a:b]):
+            weak.append(("email", a, b))
+        else:
+            add("email", a, b, SURE)
+    digits = any(c.isdigit() for c in text)
+    for m in ID.finditer(text) if digits else ():
         value, a = m["v"], m.start("v")
+        a, b = a + len(value) - len(value.lstrip(" ")), a + len(value.rstrip(" ./-"))
         if sum(c.isdigit() for c in value) >= 5:
-            add("id_number", a + len(value) - len(value.lstrip(" ")), a + len(value.rstrip(" ./-")))
-    for m in ADDRESS.finditer(text):
-        add("address", m.start(), m.end())
-    for m in PHONE_CUE.finditer(text):
-        add("phone", m.start("v"), m.end("v"))
-    for m in PHONE.finditer(text):
+            add("id_number", a, b, SURE)
+        else:
+            weak.append(("id_number", a, b))
+    for m in ADDRESS.finditer(text) if digits else ():
+        add("address", m.start(), m.end(), SURE if CODED.search(m[0]) else LIKELY)
+    for m in PHONE_CUE.finditer(text) if digits else ():
+        add("phone", m.start("v"), m.end("v"), SURE)
+    for m in PHONE.finditer(text) if digits else ():
         left = text[max(0, m.start() - 90) : m.start()]
-        if sum(c.isdigit() for c in m[0]) >= 10 and not DATE.match(m[0]) and not REFERENCE.search(left[-30:]) and not REGISTER.search(left):
-            add("phone", m.start(), m.end())
+        if sum(c.isdigit() for c in m[0]) >= 10 and not DATE.match(m[0]) and not REGISTER.search(left):
+            add("phone", m.start(), m.end(), LIKELY)
+        else:
+            weak.append(("phone", m.start(), m.end()))
+    # other long numbers are hardly phones; they tell which frames announce articles, orders and the like
+    weak.extend(("phone", m.start(), m.end()) for m in (NUMBER.finditer(text) if digits else ()))
+    for kind, a, b in weak:
+        add(kind, a, b, WEAK)
     return taken
 
 
+def formal_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the candidates whose form discloses by itself."""
+    return [(k, a, b) for k, a, b, bits in formal_candidates(text) if bits > 0]
+
+
 def name_spans(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, form, given, family) of name-shaped spans outside of other spans and company names."""
     for form, pattern in (("g f", STRAIGHT), ("f, g", REVERSED), ("i f", INITIAL), ("f, i", INITIAL_LAST)):
@@ -141,57 +166,81 @@ def name_spans(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[i
 def before(text: str, start: int) -> str:
     """The two words before a span, titles left out: its frame."""
     left = regex.sub(r"(?:\b(?:Dr|Prof|Dipl|Ing|Herrn?|Frau|Mrs?|Ms|Mme|Monsieur|Madame|M|Sr|Sra|Don|Doña|Mag|med)\b\.?-?[ ]*)+$", "", text[max(0, start - 60) : start])
-    return " ".join(regex.findall(r"[\p{L}\p{M}]+|[:;(]|\n", left)[-2:]).casefold()
+    return " ".join(regex.findall(r"[\p{L}\p{M}]+|[:;(☎✆📞]|\n", left)[-2:]).casefold()
 
 
 SPANS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("version", T.LongType()),
         T.StructField("kind", T.StringType()),
         T.StructField("span", T.StringType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
         T.StructField("form", T.StringType()),
         T.StructField("given", T.StringType()),
         T.StructField("family", T.StringType()),
         T.StructField("frame", T.StringType()),
         T.StructField("seed", T.IntegerType()),
+        T.StructField("bits", T.DoubleType()),
     ]
 )
 
 
+def versioned(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version, which tells rows of one doc_id with other texts apart."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """All formal spans and all name-shaped spans of each text, with their terms; narrow, whole texts."""
+    """All formal spans and all name-shaped spans of each text, with their places and terms; narrow, whole texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, version, text in zip(pdf["doc_id"], pdf["version"], pdf["text"], strict=True):
                 if not text:
                     continue
-                taken = formal_spans(text)
-                rows.extend({(doc, k, text[a:b], None, None, None, None, 0) for k, a, b in taken})
-                locals_ = [folded(regex.split(AT, text[a:b])[0]) for k, a, b in taken if k == "email"]
-                for a, b, form, given, family in name_spans(text, taken):
+                taken = formal_candidates(text)
+                rows.extend((doc, version, k, text[a:b], a, b, None, None, None, before(text, a), 0, bits) for k, a, b, bits in taken)
+                locals_ = [folded(regex.split(AT, text[a:b])[0]) for k, a, b, _ in taken if k == "email"]
+                for a, b, form, given, family in name_spans(text, [(k, x, y) for k, x, y, bits in taken if bits > 0]):
                     g, f = folded(given).strip("."), folded(family)
                     seed = int(any(f in x and (g in x or len(g) <= 2) for x in locals_ if len(f) > 3))
-                    rows.append((doc, "person", text[a:b], form, g, f, before(text, a), seed))
+                    own = any(x in (f"{g}.{f}", f"{f}.{g}", f"{g}_{f}", f"{g}-{f}") for x in locals_)
+                    rows.append((doc, version, "person", text[a:b], a, b, form, g, f, before(text, a), seed, SURE if own else 0.0))
             yield pd.DataFrame(rows, columns=[f.name for f in SPANS])
 
-    return docs.select("doc_id", "text").where("text is not null").mapInPandas(run, SPANS)
+    return versioned(docs).where("text is not null").select("doc_id", "version", "text").mapInPandas(run, SPANS)
 
 
-def found(docs: DataFrame, bits: float = 2.0, least: int = 3) -> DataFrame:
-    """doc_id, kind, span: each distinct span of each text, exactly as it stands there.
-
-    A frame (the two words before a span) or a given name discloses persons if the share of seeded spans among its
-    spans exceeds the share among all by ``bits`` bits and ``least`` of them are seeded; a given name also if that
-    holds for spans in disclosing frames. A span is a person if its given name discloses; an initial with a family name
-    if its frame does, or if the family name is one of a person in the same text. Null and empty texts hold nothing;
-    repeated rows give one row each span. Counts cover the whole corpus and are aggregated map-side; disclosing terms
-    are broadcast after a count of them, otherwise shuffled.
+def disclosed(formal: DataFrame) -> DataFrame:
+    """The formal candidates whose form and frame together tell more than 0 bits.
+
+    A frame tells log2((s + 1/2) / (w + 1/2)): s sure and w weak forms of the kind stand behind it in the corpus, without
+    the candidate's own. A frame never seen tells nothing. Counts are aggregated map-side; frames are broadcast if they
+    were measured small, else shuffled."""
+    frames = formal.where("frame <> ''").groupBy("kind", "frame").agg(F.sum((F.col("bits") >= SURE).cast("int")).alias("s"), F.sum((F.col("bits") <= WEAK).cast("int")).alias("w")).where("s > 0 or w > 0")
+    known = formal.join(checked_broadcast(frames), ["kind", "frame"], "left")
+    s = F.coalesce("s", F.lit(0)) - (F.col("bits") >= SURE).cast("int") * F.col("s").isNotNull().cast("int")
+    w = F.coalesce("w", F.lit(0)) - (F.col("bits") <= WEAK).cast("int") * F.col("w").isNotNull().cast("int")
+    return known.where(F.col("bits") + F.log2((s + 0.5) / (w + 0.5)) > 0).select(formal.columns)
+
+
+def spans(docs: DataFrame, bits: float = 2.0, least: int = 3) -> DataFrame:
+    """doc_id, version, kind, span, start, end of every place of personal information; places may overlap.
+
+    Formal kinds as :func:`disclosed` has them. A frame (the two words before a span) or a given name discloses persons if
+    the share of seeded spans among its spans exceeds the share among all by ``bits`` bits and ``least`` of them are
+    seeded; a given name also if that holds for spans in disclosing frames. A span is a person if its given name discloses
+    or its whole name is the local part of a mailbox in the same text; an initial with a family name if its frame
+    discloses, or if the family name is one of a person in the same text. Null and empty texts hold nothing. Counts cover
+    the whole corpus and are aggregated map-side.
     """
-    spans = cut(candidates(docs))
-    formal = spans.where("kind <> 'person'").select("doc_id", "kind", "span")
-    names = spans.where("kind = 'person'")
+    found = cut(candidates(docs))
+    columns = ["doc_id", "version", "kind", "span", "start", "end"]
+    formal = disclosed(found.where("kind <> 'person'")).select(columns)
+    names = found.where("kind = 'person'")
     straight = names.where("form in ('g f', 'f, g')")
     base = straight.agg((F.sum("seed") + 1) / (F.count(F.lit(1)) + 1)).first()[0] or 0.01
 
@@ -208,19 +257,46 @@ def found(docs: DataFrame, bits: float = 2.0, least: int = 3) -> DataFrame:
     frames = cut(disclosing(with_given, "frame", "sign"))
     framed = straight.join(checked_broadcast(frames.withColumn("open", F.lit(1))), "frame", "left").withColumn("sign", F.greatest("seed", F.coalesce("open", F.lit(0))))
     given = cut(disclosing(framed, "given", "sign"))
-    persons = cut(straight.join(checked_broadcast(given), "given", "left_semi").select("doc_id", "span", "family"))
+    persons = straight.join(checked_broadcast(given.withColumn("known", F.lit(True))), "given", "left").where(F.col("known") | (F.col("bits") >= SURE))
+    persons = cut(persons.select(*columns, "family"))
     initials = names.where("form in ('i f', 'f, i')")
-    by_frame = initials.join(checked_broadcast(frames), "frame", "left_semi").select("doc_id", "span")
-    by_family = initials.join(persons.select("doc_id", "family").distinct(), ["doc_id", "family"], "left_semi").select("doc_id", "span")
-    by_mail = initials.where("seed = 1").select("doc_id", "span")
-    people = persons.select("doc_id", "span").unionByName(by_frame).unionByName(by_family).unionByName(by_mail).select("doc_id", F.lit("person").alias("kind"), "span")
+    by_frame = initials.join(checked_broadcast(frames), "frame", "left_semi").select(columns)
+    by_family = initials.join(persons.select("doc_id", "version", "family").distinct(), ["doc_id", "version", "family"], "left_semi").select(columns)
+    by_mail = initials.where("seed = 1").select(columns)
+    told = persons.select(columns).unionByName(by_frame).unionByName(by_family).unionByName(by_mail).distinct()
+    # what is a person in one place of a text is one wherever it stands there as a candidate
+    people = names.select(columns).join(told.select("doc_id", "version", "span").distinct(), ["doc_id", "version", "span"], "left_semi").select(columns)
     return formal.unionByName(people).distinct()
 
 
-def sanitised(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text with every span of ``spans`` (doc_id, kind, span) replaced by its kind in brackets; the longest
-    spans first, so a span within another never breaks it. Texts without spans stay as they are, null stays null."""
-    listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("span")).alias("n"), "span", "kind"))).alias("spans"))
-    joined = docs.select("doc_id", "text").join(listed, "doc_id", "left")
-    text = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<n:int,span:string,kind:string>>")), F.col("text"), lambda acc, s: F.replace(acc, s["span"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-    return joined.select("doc_id", text.alias("text"))
+def found(docs: DataFrame, bits: float = 2.0, least: int = 3) -> DataFrame:
+    """doc_id, kind, span: each distinct span of :func:`spans`, exactly as it stands in the text; repeated rows give one
+    row each span."""
+    return spans(docs, bits, least).select("doc_id", "kind", "span").distinct()
+
+
+def replaced(text: str | None, places: list) -> str | None:
+    """``text`` with each place (start, end, kind) as its kind in brackets; places that overlap become one, named by the
+    first and, of equal starts, the longest."""
+    if text is None or places is None or not len(places):
+        return text
+    out, at = [], 0
+    for start, end, kind in sorted(((p["start"], p["end"], p["kind"]) for p in places), key=lambda p: (p[0], -p[1])):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+@F.pandas_udf(T.StringType())
+def replaced_places(texts: pd.Series, places: pd.Series) -> pd.Series:
+    return pd.Series([replaced(t, p) for t, p in zip(texts, places, strict=True)], dtype="object")
+
+
+def sanitised(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, text with every place of ``places`` (as :func:`spans` gives them) replaced by its kind in brackets, cut by
+    position, so all other letters stay. Texts without places stay as they are, null stays null; rows stay rows."""
+    listed = places.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end", "kind")).alias("places"))
+    joined = versioned(docs).join(listed, ["doc_id", "version"], "left")
+    with_places = joined.where("places is not null").select("doc_id", replaced_places("text", "places").alias("text"))
+    return with_places.unionByName(joined.where("places is null").select("doc_id", "text"))

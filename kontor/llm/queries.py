@@ -102,7 +102,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_sanitised(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return p9.sanitised(docs, p9.found(docs))
+    return p9.sanitised(docs, p9.spans(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

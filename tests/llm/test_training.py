@@ -379,10 +379,46 @@ def test_persons_and_sanitising(spark):
         rows.append((i, f"Die Halle ist offen. {frames[i % 3].format(f'{g} {f}')} Mail: {g.lower()}.{f.lower()}@haus.example. Das Werk Hagelstolm liefert Regale. Neue Ventile sind da."))
     rows += [(900, "Danke an Kestiwick, Anna für die Hilfe!"), (901, None), (902, ""), (903, "Das Werk Hagelstolm liefert.")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    spans = personal.found(docs, least=2)
+    spans = personal.spans(docs, least=2)
     got = {(r.doc_id, r.kind, r.span) for r in spans.collect()}
     assert (0, "person", "Anna Tolsonau") in got and (900, "person", "Kestiwick, Anna") in got
     assert not any(k == "person" and "Hagelstolm" in s for _, k, s in got)
     clean = {r.doc_id: r.text for r in personal.sanitised(docs, spans).collect()}
     assert "Tolsonau" not in clean[0] and "[PERSON]" in clean[0] and "[EMAIL]" in clean[0]
     assert clean[901] is None and clean[902] == "" and clean[903] == "Das Werk Hagelstolm liefert."
+
+
+def test_sanitising_cuts_by_position(spark):
+    text = "Herr J. Ott (Tel. 0211 12345678) grüßt Herrn J. Otto, Artikel 90211 123456789; J. Ott mailt an j.ott@haus.example 👍🏽 J. Ott"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (1, "J. Otto")], "doc_id bigint, text string").withColumn("places", F.lit("clash"))
+    places = personal.spans(docs)
+    rows = [r.text for r in personal.sanitised(docs, places).where("doc_id = 1").collect()]
+    got = next(t for t in rows if "Artikel" in t)
+    assert "J. Otto, Artikel 90211 123456789;" in got and "J. Otto" in rows and "[EMAIL]" in got and "[PHONE]" in got
+    held = [r.asDict() for r in places.where("doc_id = 1").collect() if r.span in text]
+    kept, at = [], 0
+    for p in sorted(held, key=lambda p: (p["start"], -p["end"])):
+        if p["start"] >= at:
+            kept.append(text[at : p["start"]])
+        at = max(at, p["end"])
+    kept.append(text[at:])
+    assert all(text[p["start"] : p["end"]] == p["span"] for p in held)
+    rest = got
+    for k in kept:
+        assert k in rest
+        rest = rest[rest.index(k) + len(k) :]
+    assert personal.sanitised(docs, places).count() == 4
+
+
+def test_frames_decide_on_formal_spans(spark):
+    rows = [(i, f"Rufen Sie uns an: Telefon 0{221 + i} 471 02{i:02d} heute.") for i in range(20)]
+    rows += [(100 + i, f"Unsere Charge 0{300 + i} 5550 1{i:02d}7 Best. Nr. 0815 471 22{i:02d} liegt bereit.") for i in range(6)]
+    rows += [(200 + i, f"Das Los der Charge Nr. 04{i:02d} 7788 99{i:02d} liegt bereit.") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    formal = spark.createDataFrame(
+        [(i, "phone", "tel :", 6.0) for i in range(30)] + [(50, "phone", "tel :", -4.0), (60, "phone", "los :", 2.0)] + [(70 + i, "phone", "los :", -4.0) for i in range(6)] + [(90, "phone", "", 2.0), (91, "phone", "neu", -4.0)],
+        "doc_id int, kind string, frame string, bits double",
+    )
+    got = {r.doc_id for r in personal.disclosed(formal).collect()}
+    assert 50 in got and 90 in got and 60 not in got and 91 not in got and not got & set(range(70, 76))
+    assert personal.found(docs).where("kind = 'phone' and doc_id < 100").count() == 20
