@@ -27,8 +27,16 @@ def p1_values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence that the problem states ranks the values, the converged support decides between equal ones; for names
+    of one length the problem states the smallest row."""
     values, _ = p1_values(spark, d)
-    return p1.survivors(values, ties="row").select(F.col("entity").alias("entry_id"), "field", F.col("row").alias("row_id"))
+    return p1.survivors(values, "evidence", ("company_name",)).select(F.col("entity").alias("entry_id"), "field", F.col("row").alias("row_id"))
+
+
+def p1_trusted(spark: SparkSession, d: str) -> DataFrame:
+    """The values of highest converged support, evidence deciding between equal ones."""
+    values, _ = p1_values(spark, d)
+    return p1.survivors(values).select(F.col("entity").alias("entry_id"), "field", "value", F.round("support", 6).alias("support"))
 
 
 def p1_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +115,7 @@ def p9_sanitised(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_trusted": p1_trusted,
     "p1_sources": p1_sources,
     "p2_found": p2_found,
     "p2_matches": p2_matches,

@@ -18,14 +18,14 @@ def usable(c):
     return F.when(~F.lower(F.regexp_replace(c, r"\s+", "")).isin(*STAND_INS), c)
 
 
-def truth_discovery(claims: DataFrame, max_iter: int = 10, tol: float = 1e-3, prior: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def truth_discovery(claims: DataFrame, max_iter: int = 200, tol: float = 1e-3, prior: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Estimate which value of each field of each entity is true, and how far each source can be trusted.
 
     ``claims``: entity, field, value, source, evidence (double, may be null), row. A claim's vote is the
     source's weight -ln(1 - reliability); the support of a value is its share of the votes of its entity and
     field; a source's reliability is the mean support of what it claims. Both are alternated until no
-    reliability moves by ``tol`` or ``max_iter`` rounds are over. ``evidence`` is the claim's own quality
-    (completeness, score or time); it is carried through so that a caller can rank by it first.
+    reliability moves by ``tol``; raises if ``max_iter`` rounds don't suffice. ``evidence`` is the claim's own quality
+    (completeness, score or time); it is carried through so that a caller can rank by it.
 
     Returns (values, sources). values: entity, field, value, evidence (its best), votes (claims), support in
     [0, 1], row (the smallest that holds it). sources: source, reliability. Claims with a null entity, field or
@@ -33,7 +33,9 @@ def truth_discovery(claims: DataFrame, max_iter: int = 10, tol: float = 1e-3, pr
     Empty input gives empty results.
 
     Claims are pre-aggregated map-side by (entity, field, value, source), so a hot entity is spread over its
-    values; only per-source and per-value sums are shuffled. The reliabilities are broadcast if counted small.
+    values. What a round computes depends on which sources stand against which, not on the values: fields of
+    entities with equal sides are one pattern (found by sums of hashes, with map-side aggregation), and rounds run over
+    one of each pattern with its count. The reliabilities are broadcast if measured small.
     """
     votes = cut(
         claims.where("entity is not null and field is not null and value is not null")
@@ -41,34 +43,45 @@ def truth_discovery(claims: DataFrame, max_iter: int = 10, tol: float = 1e-3, pr
         .groupBy("entity", "field", "value", "source")
         .agg(F.count(F.lit(1)).alias("n"), F.max("evidence").alias("evidence"), F.min("row").alias("row"))
     )
-    sources = cut(votes.select("source").distinct().withColumn("reliability", F.lit(prior)))
-    values = None
-    for _ in range(max_iter):
+    folded = lambda *c: F.shiftright(F.xxhash64(*c), 16)  # noqa: E731  # 48 bits, so that sums of many stay whole
+    sides = votes.groupBy("entity", "field", "value").agg(F.sum(folded("source")).alias("s"), F.sum(folded("source", F.lit(1))).alias("t"))
+    groups = sides.groupBy("entity", "field").agg(F.sum(folded("s", "t")).alias("p"), F.sum(folded("t", "s", F.lit(2))).alias("q"))
+    patterns = groups.groupBy("p", "q").agg(F.min(F.struct("entity", "field")).alias("of"), F.count(F.lit(1)).alias("times"))
+    patterns = cut(patterns.select("of.entity", "of.field", "times"))
+    few = cut(votes.select("entity", "field", "value", "source").join(patterns, ["entity", "field"]))
+    sources = cut(few.groupBy("source").agg(F.sum("times").alias("claims"), F.lit(prior).alias("reliability")))
+
+    def weighed(of: DataFrame) -> DataFrame:
         weight = -F.log(F.lit(1.0) - F.least(F.greatest("reliability", F.lit(0.01)), F.lit(0.99)))
-        values = (
-            votes.join(checked_broadcast(sources.select("source", weight.alias("w"))), "source")
-            .groupBy("entity", "field", "value")
-            .agg(F.sum("w").alias("w"), F.sum("n").alias("votes"), F.max("evidence").alias("evidence"), F.min("row").alias("row"))
-        )
+        return of.join(checked_broadcast(sources.select("source", weight.alias("w"))), "source")
+
+    for _ in range(max_iter):
+        values = weighed(few).groupBy("entity", "field", "value", "times").agg(F.sum("w").alias("w"), F.collect_set("source").alias("sources"))
         totals = values.groupBy("entity", "field").agg(F.sum("w").alias("all_w"))
-        values = cut(values.join(totals, ["entity", "field"]).withColumn("support", F.col("w") / F.col("all_w")).drop("w", "all_w"))
-        renewed = cut(
-            votes.select("entity", "field", "value", "source")
-            .join(values.select("entity", "field", "value", "support"), ["entity", "field", "value"])
-            .groupBy("source")
-            .agg(F.avg("support").alias("renewed"))
-        )
-        moved = sources.join(renewed, "source").agg(F.max(F.abs(F.col("renewed") - F.col("reliability")))).first()[0]
-        sources = renewed.select("source", F.col("renewed").alias("reliability"))
+        shares = values.join(totals, ["entity", "field"]).select(F.explode("sources").alias("source"), "times", (F.col("w") / F.col("all_w")).alias("share"))
+        renewed = shares.groupBy("source").agg((F.sum(F.col("share") * F.col("times")) / F.sum("times")).alias("renewed"))
+        after = cut(sources.join(renewed, "source").select("source", "claims", F.col("renewed").alias("reliability"), F.abs(F.col("renewed") - F.col("reliability")).alias("moved")))
+        moved = after.agg(F.max("moved")).first()[0]
+        sources = cut(after.select("source", "claims", "reliability"))
         if moved is None or moved < tol:
             break
-    return values, sources
-
-
-def survivors(values: DataFrame, ties: str = "support") -> DataFrame:
-    """One value per entity and field: best evidence first; ``ties`` then prefers support or the smallest row."""
-    rank = {"support": [F.col("support"), -F.col("row")], "row": [-F.col("row"), F.col("support")]}[ties]
-    best = F.struct(F.coalesce("evidence", F.lit(float("-inf"))).alias("e"), *(c.alias(f"r{i}") for i, c in enumerate(rank)), "value", "row", "support")
+    else:
+        raise RuntimeError(f"reliabilities did not settle in {max_iter} rounds")
+    values = weighed(votes).groupBy("entity", "field", "value").agg(F.sum("w").alias("w"), F.sum("n").alias("votes"), F.max("evidence").alias("evidence"), F.min("row").alias("row"))
+    values = cut(values)
+    totals = values.groupBy("entity", "field").agg(F.sum("w").alias("all_w"))
+    return values.join(totals, ["entity", "field"]).withColumn("support", F.col("w") / F.col("all_w")).drop("w", "all_w"), sources.select("source", "reliability")
+
+
+def survivors(values: DataFrame, by: str = "support", rows_first: tuple[str, ...] = ()) -> DataFrame:
+    """One value per entity and field. ``by`` support: the highest support, then the best evidence; ``by`` evidence: the
+    best evidence, then the highest support. The smallest row comes last, but before support in the fields of ``rows_first``."""
+    evidence = F.coalesce("evidence", F.lit(float("-inf")))
+    # sums of equal votes in another order may differ in their last digits
+    support = F.round("support", 9)
+    early = F.when(F.col("field").isin(*rows_first), -F.col("row")) if rows_first else F.lit(None).cast("bigint")
+    order = [support, evidence] if by == "support" else [evidence, early, support]
+    best = F.struct(*(c.alias(f"r{i}") for i, c in enumerate([*order, -F.col("row")])), "value", "row", "support")
     return values.groupBy("entity", "field").agg(F.max(best).alias("b")).select("entity", "field", "b.value", "b.row", "b.support")
 
 

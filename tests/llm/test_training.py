@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import sys
 from pathlib import Path
@@ -83,9 +84,51 @@ def test_survivor_ties_and_stand_ins(spark):
     df = spark.createDataFrame([("n/a",), (" k. A. ",), ("",), (None,), (" x ",)], "v string")
     assert [r.v for r in df.select(survivors.usable(F.col("v")).alias("v")).collect()] == [None, None, None, None, "x"]
     values = spark.createDataFrame([(1, "f", "b", 2.0, 5, 0.4), (1, "f", "a", 2.0, 7, 0.6), (1, "f", "c", None, 1, 0.9)], "entity int, field string, value string, evidence double, row bigint, support double")
-    assert survivors.survivors(values, "row").first().value == "b"
-    assert survivors.survivors(values, "support").first().value == "a"
-
+    assert survivors.survivors(values, "evidence", ("f",)).first().value == "b"
+    assert survivors.survivors(values, "evidence").first().value == "a"
+    assert survivors.survivors(values, "support").first().value == "c"
+
+
+def test_truth_discovery_equals_the_plain_iteration(spark):
+    rng = random.Random(7)
+    rows = [(e, f, f"v{rng.randint(0, 2)}", f"s{rng.randint(0, 5)}", None, len(range(e))) for e in range(150) for f in ("a", "b") for _ in range(rng.randint(1, 5))]
+    rows += [(None, "a", "v", "s1", None, 1), (1, "a", None, "s1", None, 1), (1, "a", "v0", None, 2.0, 1)]
+    values, sources = survivors.truth_discovery(spark.createDataFrame(rows, "entity int, field string, value string, source string, evidence double, row bigint"))
+    votes = {(e, f, v, s or "?") for e, f, v, s, _, _ in rows if e is not None and v is not None}
+    trust = {s: 0.8 for *_, s in votes}
+    for _ in range(200):
+        w = {s: -math.log(1 - min(max(r, 0.01), 0.99)) for s, r in trust.items()}
+        held, all_ = {}, {}
+        for e, f, v, s in votes:
+            held[e, f, v] = held.get((e, f, v), 0) + w[s]
+            all_[e, f] = all_.get((e, f), 0) + w[s]
+        after = {s: [] for s in trust}
+        for e, f, v, s in votes:
+            after[s].append(held[e, f, v] / all_[e, f])
+        after = {s: sum(x) / len(x) for s, x in after.items()}
+        moved = max(abs(after[s] - trust[s]) for s in trust)
+        trust = after
+        if moved < 1e-3:
+            break
+    got = {r.source: r.reliability for r in sources.collect()}
+    assert got.keys() == trust.keys() and all(abs(got[s] - trust[s]) < 1e-9 for s in trust)
+    with pytest.raises(RuntimeError):
+        survivors.truth_discovery(spark.createDataFrame(rows, "entity int, field string, value string, source string, evidence double, row bigint"), max_iter=1)
+
+
+def test_support_decides_between_equal_evidence(spark):
+    """Planted false sources: they claim later rows of the same score, so only the votes tell which value is true."""
+    rng = random.Random(9)
+    rows = []
+    for e in range(80):
+        claims = [("good", 0.95), ("fair", 0.85), ("bad", 0.1), ("worse", 0.1)]
+        rng.shuffle(claims)
+        rows += [(e, "company_email", f"true{e}" if rng.random() < right else f"false{e}.{source}", source, 1.0, len(rows) + k) for k, (source, right) in enumerate(claims)]
+    values, _ = survivors.truth_discovery(spark.createDataFrame(rows, "entity int, field string, value string, source string, evidence double, row bigint"))
+    values = values.persist()
+    right = lambda df: sum(r.value == f"true{r.entity}" for r in df.collect())
+    assert right(survivors.survivors(values, "evidence")) >= 72
+    assert right(survivors.survivors(values.withColumn("support", F.rand(3)), "evidence")) < 60
 
 def test_prevailing_label(spark):
     df = spark.sql("SELECT * FROM VALUES (array(named_struct('region_label', 'a'), named_struct('region_label', 'b'), named_struct('region_label', 'a'))), (array(named_struct('region_label', 'a'), named_struct('region_label', 'b'))), (array(named_struct('region_label', CAST(NULL AS STRING)))) AS t(s)")
