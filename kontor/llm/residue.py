@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kontor.operators.joins import checked_broadcast
+from kontor.operators.joins import checked_broadcast, hot_key_join
 from kontor.session import cut
 
 UNSEEN = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|template|head|svg|textarea|select|iframe|object)\b[^>]*>.*?(?:</\1\s*>|$)")
@@ -90,23 +90,29 @@ def inner_names(c, pattern: str):
     return F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\d.]+", "")))
 
 
-def excluded_pages(pages: DataFrame, stand_ins: DataFrame, recurs: float = 0.5, least_urls: int = 3, rest_chars: int = 40) -> DataFrame:
+def excluded_pages(pages: DataFrame, stand_ins: DataFrame, recurs: float = 0.5, least_urls: int = 3, rest_chars: int = 40, subtract: bool = True) -> DataFrame:
     """Pages to exclude: page_id, reason (the first of slot, filler, address, message).
 
     ``pages``: page_id, domain, url, html. ``stand_ins``: kind (local, domain), value. A line is boilerplate of
-    its host if it stands on at least ``recurs`` of the host's URLs and on ``least_urls`` of them. A residual
-    has only a message if a line of it is a message and its other lines (without the page's title and company
-    name) have fewer than ``rest_chars`` characters together. A slot in single brackets counts if its name also
+    its host if it stands on at least ``recurs`` of the host's URLs and on ``least_urls`` of them, messages too; hosts of less than twice
+    as many URLs show theirs also by the tags of navigation, footer and header. A page has only a message if a line of its
+    residual is one and the other lines of it (without the page's title and company name) have fewer than ``rest_chars``
+    characters together, or if its residual is empty and its boilerplate is a message and no more than that. Slots, filler and stand-in
+    addresses exclude a page wherever they stand, since readers see them in a recurrent footer too. ``subtract`` set to
+    false leaves the boilerplate in, to show what it does. A slot in single brackets counts if its name also
     occurs in delimiters that leave no doubt, looks like a field's name or asks to be filled. A line is filler by
     its wording, or if nine tenths of its words also stand in lines of mock Latin. Null and empty pages are never excluded;
     repeated rows have one result per page_id; other columns are ignored.
 
-    Lines are shuffled as hashes with their flags, never as text, and counted with map-side aggregation, so a
+    Lines are shuffled as hashes with their flags, and counted with map-side aggregation, so a
     host with a third of all pages is spread over its lines. Names and stand-ins are broadcast after a count.
     """
     base = pages.select("page_id", F.coalesce("domain", F.lit("")).alias("host"), F.coalesce("url", F.lit("")).alias("url"), page_lines("html").alias("lines"), page_title("html").alias("title"))
     lines = base.select("page_id", "host", "url", "title", F.posexplode("lines").alias("no", "l")).select("page_id", "host", "url", "title", "no", "l.line", "l.framed")
-    at = r"(?i)([\p{L}\d._%+-]+)\s*(?:@|[\[({]\s*(?:at|ät|arroba|arobase|chez)\s*[\])}])\s*((?:[\p{L}\d-]+\s*(?:\.|[\[({]\s*(?:dot|punkt|point|punto)\s*[\])}])\s*)+\p{L}{2,})"
+    at = r"(?i)([\p{L}\d._%+-]+)\s*(?:@|[\[({]\s*(?:at|ät|arroba|arobase|chez)\s*[\])}])\s*((?:[\p{L}\d-]+(?:\.|\s*[\[({]\s*(?:dot|punkt|point|punto)\s*[\])}]\s*))+\p{L}{2,})"
+    pointed = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)[\[({]\s*(?:dot|punkt|point|punto)\s*[\])}]", "."), r"\s+", "")
+    every = lambda g: F.regexp_extract_all("line", F.lit(at), F.lit(g))
+    addresses = F.transform(F.arrays_zip(every(1).alias("a"), every(2).alias("b")), lambda x: F.struct(F.lower(x["a"]).alias("local"), F.lower(pointed(x["b"])).alias("mail_domain")))
     # cheap tests spare most lines the long patterns: a slot needs a delimiter, an address an at sign or a bracketed word
     marked = F.col("line").rlike(r"[{}\[\]<>«»#%@*$_]")
     mailed = F.contains("line", F.lit("@")) | F.col("line").rlike(r"(?i)[\[({]\s*(?:at|ät|arroba|arobase|chez)\s*[\])}]")
@@ -126,8 +132,7 @@ def excluded_pages(pages: DataFrame, stand_ins: DataFrame, recurs: float = 0.5,
         given(marked, inner_names(F.col("line"), MAYBE_SLOT.replace("(", "(?:").replace("(?:?:", "(?:")), none).alias("maybe"),
         given(marked, F.exists(F.regexp_extract_all(F.col("line"), F.lit(f"({MAYBE_SLOT.replace('(', '(?:').replace('(?:?:', '(?:')})"), F.lit(1)), lambda x: F.regexp_replace(x, r"^[^\p{L}]+|[^\p{L}]+$", "").rlike(f"{ASKING}|{NAMELIKE}")), F.lit(False)).alias("asking"),
         F.col("line").rlike(FILLER).alias("filler"),
-        given(mailed, F.lower(F.regexp_extract("line", at, 1)), F.lit("")).alias("local"),
-        given(mailed, F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract("line", at, 2), r"(?i)[\[({]\s*(?:dot|punkt|point|punto)\s*[\])}]", "."), r"\s+", "")), F.lit("")).alias("mail_domain"),
+        given(mailed, addresses, F.array().cast("array<struct<local:string,mail_domain:string>>")).alias("mails"),
         # a longer line is no message, as below
         ((F.length("line") < 200) & (F.col("line").rlike(ERRORS) | F.col("line").rlike(SCRIPTS))).alias("message"),
         ((F.length("title") > 0) & (F.startswith(F.col("title"), F.col("line")) | (F.col("line") == F.col("title")))).alias("named"),
@@ -151,7 +156,7 @@ def excluded_pages(pages: DataFrame, stand_ins: DataFrame, recurs: float = 0.5,
         .where("known >= 0.9 * n")
         .select("page_id", F.lit("2 filler").alias("reason"))
     )
-    mails = lines.where("local <> ''").select("page_id", "local", "mail_domain")
+    mails = lines.select("page_id", F.explode("mails").alias("m")).select("page_id", "m.local", "m.mail_domain")
     address = (
         mails.join(checked_broadcast(locals_), "local", "left")
         .join(checked_broadcast(domains), "mail_domain", "left")
@@ -159,14 +164,27 @@ def excluded_pages(pages: DataFrame, stand_ins: DataFrame, recurs: float = 0.5,
         .select("page_id", F.lit("3 address").alias("reason"))
     )
 
-    urls = lines.select("host", "url").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("urls"))
-    counted = lines.where("not message").groupBy("host", "h", "url").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_urls)
-    boilerplate = counted.join(urls, "host").where(F.col("n") >= F.col("urls") * recurs).select("host", "h", F.lit(1).alias("boiler"))
-    residual = lines.where("not framed and (message or not named)").join(boilerplate, ["host", "h"], "left").where("boiler is null")
+    urls = cut(lines.select("host", "url").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("urls")))
+    key = F.xxhash64("host", "h", "framed")
+    counted = lines.groupBy("host", "h", "url").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_urls)
+    recurrent = counted.join(urls, "host").where(F.col("n") >= F.col("urls") * recurs).select(F.explode(F.array(F.lit(True), F.lit(False))).alias("framed"), "host", "h").select(key.alias("key"))
+    # hosts of too few URLs for counts show their boilerplate by its tags
+    tagged = lines.where("framed").select("host", "h", "framed").distinct().join(urls.where(F.col("urls") < 2 * least_urls), "host").select(key.alias("key"))
+    boilerplate = cut((recurrent.unionByName(tagged) if subtract else tagged.where("false")).distinct().withColumn("boiler", F.lit(True)))
+    # a page shows its title and the name in it beside any message
+    shown = lines.where("message or not named").select("page_id", "message", "framed", "chars", key.alias("key"))
+    shown = hot_key_join(shown, boilerplate, "key", "left")
+    rest = F.col("boiler").isNull()
     message = (
-        residual.groupBy("page_id")
-        .agg(F.max("message").alias("message"), F.sum(F.when(F.col("message"), 0).otherwise(F.col("chars"))).alias("rest"), F.max(F.when(F.col("message"), F.col("chars"))).alias("longest"))
-        .where(F.col("message") & (F.col("rest") < rest_chars) & (F.col("longest") < 200))
+        shown.groupBy("page_id")
+        .agg(
+            F.max("message").alias("any"),
+            F.sum(rest.cast("int")).alias("lines"),
+            F.sum(F.when(~F.col("framed") & ~F.col("message"), F.col("chars")).otherwise(0)).alias("all_chars"),
+            F.max(F.when(rest, F.col("message"))).alias("message"),
+            F.sum(F.when(rest & ~F.col("message"), F.col("chars")).otherwise(0)).alias("rest"),
+        )
+        .where((F.col("message") & (F.col("rest") < rest_chars)) | (F.col("any") & (F.col("lines") == 0) & (F.col("all_chars") < rest_chars)))
         .select("page_id", F.lit("4 message").alias("reason"))
     )
     found = slots.unionByName(brackets).unionByName(filler).unionByName(mock).unionByName(address).unionByName(message)

@@ -253,6 +253,19 @@ def test_residue(spark):
     assert got == {i for i, _, bad in cases if bad}
 
 
+def test_boilerplate_is_subtracted(spark):
+    notice, menu = "<p>Bitte aktivieren Sie JavaScript.</p>", "<div>Startseite Leistungen Referenzen Anfahrt und Kontakt zum Betrieb</div>"
+    real = "<p>Unser Betrieb in Hagelhulde bildet jedes Jahr neun Lehrlinge aus und liefert in alle Orte.</p>"
+    pages = [(k, "a.example", f"https://a.example/{k}", f"<html><body>{menu}{notice}{real} {k}</body></html>") for k in range(5)]
+    pages += [(10, "a.example", "https://a.example/10", f"<html><body>{menu}<h1>404 Not Found</h1></body></html>"), (11, "a.example", "https://a.example/11", f"<html><body>{menu}{notice}<p>Tel. 0711 55</p></body></html>")]
+    pages += [(20 + k, "b.example", f"https://b.example/{k}", f"<html><body>{notice}</body></html>") for k in range(4)]
+    pages += [(30, "c.example", "https://c.example/", f"<html><body><p>Mail: chef@c.example. Oder nobody@c.example.</p>{real}</body></html>")]
+    df = spark.createDataFrame(pages, "page_id bigint, domain string, url string, html string")
+    listed = spark.createDataFrame([("local", "nobody")], "kind string, value string")
+    assert {r.page_id for r in residue.excluded_pages(df, listed).collect()} == {10, 20, 21, 22, 23, 30}
+    assert {r.page_id for r in residue.excluded_pages(df, listed, subtract=False).collect()} == {20, 21, 22, 23, 30}
+
+
 # 6
 
 
