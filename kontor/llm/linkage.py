@@ -1,8 +1,9 @@
 """Matching of entities across two sources without a common key (problem 2): probabilistic record linkage.
 
 Method: candidate pairs come from several blocking passes; each pair is compared attribute by attribute at a few
-agreement levels; expectation-maximisation estimates how often each level occurs among matches and non-matches
-(Fellegi and Sunter's model with conditional independence); the posterior is the confidence of the match.
+agreement levels; expectation-maximisation estimates how often each level occurs among matches, among pairs that agree
+but for their place (branches, namesakes) and among other pairs (Fellegi and Sunter's model with conditional
+independence, with three latent classes); the posterior of a match is its confidence, and decides alone.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from kontor.llm.segments import distance, segment_pairs
 from kontor.operators.joins import checked_broadcast
 from kontor.session import cut
 
+#: Share of matches whose postal codes contradict each other by more than a typing error.
+ERRORS = 0.001
 LEVELS = ("name", "trade", "postal", "site", "contact", "region")
 
 
@@ -70,37 +73,51 @@ def compared(pairs: DataFrame) -> DataFrame:
     return pairs.select("a_id", "b_id", "a_postal", "b_postal", *[v.cast("int").alias(f"l_{k}") for k, v in levels.items()])
 
 
-def expectation_maximisation(patterns: list[tuple[tuple, int]], rounds: int = 60, prior: float = 0.1) -> tuple[float, list[dict], list[dict]]:
-    """Share of matches and the level probabilities (m, u) by attribute, from counted agreement patterns.
+def expectation_maximisation(patterns: list[tuple[tuple, int]], elsewhere: int | None = None, rounds: int = 5000, tol: float = 1e-5) -> tuple[list[float], list[list[dict]]]:
+    """Shares of the classes and, by class and attribute, the probability of each level, from counted agreement patterns.
 
-    Patterns are few (at most the product of the levels), so this runs on the driver on counts of all pairs. Unknown
-    levels take no part. Starts from m favouring high levels; stops when the share moves by less than 1e-6."""
+    The first class are matches, the last other pairs. Blocking makes pairs that differ in place and agree in all else
+    frequent (branches and namesakes), which are neither alike; with ``elsewhere``, the number of the attribute that tells the
+    place, they are a class of their own between the two. Patterns are few (at most the product of the levels), so this
+    runs on the driver on counts of all pairs. Unknown levels take no part. Starts from nine tenths of the pairs that agree
+    fully in the first attribute as matches (as the middle class where the place is contradicted) and nine tenths of the
+    others as the last class; stops when no share moves by ``tol``, raises after ``rounds``."""
     n = len(LEVELS)
     values = [sorted({p[i] for p, _ in patterns if p[i] is not None}) for i in range(n)]
-    m = [{v: (v + 1) ** 2 / sum((x + 1) ** 2 for x in vs) for v in vs} for vs in values]
     total = sum(c for _, c in patterns) or 1
-    u = [{v: (sum(c for p, c in patterns if p[i] == v) + 1) / (sum(c for p, c in patterns if p[i] is not None) + len(vs)) for v in vs} for i, vs in enumerate(values)]
-    share = prior
+    k = 2 if elsewhere is None else 3
+
+    def first(p: tuple) -> int:
+        if p[0] is None or p[0] < max(values[0]):
+            return k - 1
+        return 1 if k == 3 and p[elsewhere] == 0 else 0
+
+    def estimated(held: list[list[float]]) -> tuple[list[float], list[list[dict]]]:
+        shares = [max(sum(h[j] for h in held) / total, 1e-9) for j in range(k)]
+        counted = [[{v: 0.5 for v in vs} for vs in values] for _ in range(k)]
+        for (p, _), h in zip(patterns, held, strict=True):
+            for i, v in enumerate(p):
+                if v is not None:
+                    for j in range(k):
+                        counted[j][i][v] += h[j]
+        if k == 3 and 0 in values[elsewhere]:
+            # matches are at one place by definition; only errors contradict it
+            of = counted[0][elsewhere]
+            of[0] = ERRORS * sum(x for v, x in of.items() if v)
+        return shares, [[{v: x / sum(c.values()) for v, x in c.items()} for c in of] for of in counted]
+
+    shares, classes = estimated([[c * (0.9 if j == first(p) else 0.1 / (k - 1)) for j in range(k)] for p, c in patterns])
     for _ in range(rounds):
-        weights = []
+        held = []
         for p, c in patterns:
-            lm = math.log(share) + sum(math.log(m[i][v]) for i, v in enumerate(p) if v is not None)
-            lu = math.log(1 - share) + sum(math.log(u[i][v]) for i, v in enumerate(p) if v is not None)
-            weights.append(c / (1 + math.exp(min(500, lu - lm))))
-        matched = sum(weights)
-        renewed = min(max(matched / total, 1e-6), 1 - 1e-6)
-        for i, vs in enumerate(values):
-            wm = sum(w for (p, _), w in zip(patterns, weights, strict=True) if p[i] is not None)
-            wu = sum(c - w for (p, c), w in zip(patterns, weights, strict=True) if p[i] is not None)
-            for v in vs:
-                a = sum(w for (p, _), w in zip(patterns, weights, strict=True) if p[i] == v)
-                b = sum(c - w for (p, c), w in zip(patterns, weights, strict=True) if p[i] == v)
-                m[i][v] = (a + 0.5) / (wm + 0.5 * len(vs))
-                u[i][v] = (b + 0.5) / (wu + 0.5 * len(vs))
-        done, share = abs(renewed - share) < 1e-6, renewed
-        if done:
-            break
-    return share, m, u
+            logs = [math.log(s) + sum(math.log(of[i][v]) for i, v in enumerate(p) if v is not None) for s, of in zip(shares, classes, strict=True)]
+            parts = [math.exp(x - max(logs)) for x in logs]
+            held.append([c * x / sum(parts) for x in parts])
+        renewed, classes = estimated(held)
+        moved, shares = max(abs(x - y) for x, y in zip(renewed, shares, strict=True)), renewed
+        if moved < tol or not patterns:
+            return shares, classes
+    raise RuntimeError(f"the shares of the classes did not settle in {rounds} rounds")
 
 
 def scored(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -140,28 +157,31 @@ def scored(left: DataFrame, right: DataFrame) -> DataFrame:
     levels = cut(compared(candidates.join(of("a"), "a_id").join(of("b"), "b_id")))
     columns = [f"l_{k}" for k in LEVELS]
     counted = [(tuple(r[c] for c in columns), r["n"]) for r in levels.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).collect()]
-    share, m, u = expectation_maximisation(counted)
-    weight = F.lit(math.log(share / (1 - share)))
-    for i, c in enumerate(columns):
-        ladder = F.lit(0.0)
-        for v in m[i]:
-            ladder = F.when(F.col(c) == v, F.lit(math.log(m[i][v] / u[i][v]))).otherwise(ladder)
-        weight = weight + ladder
-    return levels.withColumn("posterior", 1 / (1 + F.exp(-weight)))
-
-
-def same_place_pairs(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
-    """a_id, b_id, posterior: pairs taken for the same company at the same place.
-
-    A pair needs a posterior of ``least``, agreeing names, no contradicting trade and no contradicting postal code. If
-    only some telling words agree, or the trade or the postal code is unknown on one side, the site, the phone or all the
-    rest must agree. An entry without a postal code that fits several places goes to the one of its best pair.
+    shares, classes = expectation_maximisation(counted, LEVELS.index("postal"))
+    likelihoods = []
+    for share, probabilities in zip(shares, classes, strict=True):
+        weight = F.lit(math.log(share))
+        for i, c in enumerate(columns):
+            ladder = F.lit(0.0)
+            for v, p in probabilities[i].items():
+                ladder = F.when(F.col(c) == v, F.lit(math.log(p))).otherwise(ladder)
+            weight = weight + ladder
+        likelihoods.append(weight)
+    against = [F.exp(F.least(x - likelihoods[0], F.lit(700.0))) for x in likelihoods[1:]]
+    posterior = F.lit(1.0)
+    for x in against:
+        posterior = posterior + x
+    return levels.withColumn("posterior", 1 / posterior)
+
+
+def same_place_pairs(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
+    """a_id, b_id, posterior: pairs taken for the same company at the same place, those of a posterior of ``least``.
+
+    The threshold is below a half since a pair of unknown place shares its probability between the same place and
+    another, and is then decided by comparison: an entry without a postal code that fits several places goes to the one
+    of its best pair.
     """
-    pairs = scored(left, right)
-    fit = pairs.where((F.col("posterior") >= least) & (F.col("l_name") >= 1) & (F.coalesce("l_trade", F.lit(1)) == 1) & (F.coalesce("l_postal", F.lit(2)) >= 1))
-    sure = (F.coalesce("l_site", F.lit(0)) == 1) | (F.coalesce("l_contact", F.lit(0)) == 1)
-    rest = (F.col("l_name") == 2) & (F.coalesce("l_trade", F.lit(0)) == 1) & F.col("l_site").isNull()
-    fit = cut(fit.where(sure | ((F.col("l_name") == 2) & (F.coalesce("l_postal", F.lit(0)) >= 1)) | rest))
+    fit = cut(scored(left, right).where(F.col("posterior") >= least))
     for own, other in (("b", "a"), ("a", "b")):
         open_ = F.col(f"{own}_postal").isNull() & F.col(f"{other}_postal").isNotNull()
         best = fit.where(open_).groupBy(f"{own}_id").agg(F.max(F.struct("posterior", F.col(f"{other}_postal").alias("place"))).alias("best")).select(f"{own}_id", F.col("best.place").alias("place"))

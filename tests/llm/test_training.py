@@ -146,9 +146,24 @@ def test_expectation_maximisation_finds_the_classes():
         match = rng.random() < 0.2
         p = tuple(int(rng.random() < (0.9 if match else 0.1)) for _ in range(n))
         counted[p] = counted.get(p, 0) + 1
-    share, m, u = linkage.expectation_maximisation(list(counted.items()))
+    (share, _), (m, u) = linkage.expectation_maximisation(list(counted.items()))
     assert abs(share - 0.2) < 0.03
     assert all(abs(m[i][1] - 0.9) < 0.06 and abs(u[i][1] - 0.1) < 0.06 for i in range(n))
+    assert linkage.expectation_maximisation([], 2)[0][-1] > 0
+
+
+def test_expectation_maximisation_tells_branches_from_matches():
+    rng = random.Random(3)
+    n, place = len(linkage.LEVELS), linkage.LEVELS.index("postal")
+    counted: dict[tuple, int] = {}
+    for _ in range(6000):
+        x = rng.random()
+        agree = [0.9] * n if x < 0.2 else [0.05 if i == place else 0.9 for i in range(n)] if x < 0.4 else [0.9 if i == place else 0.1 for i in range(n)]
+        p = tuple(int(rng.random() < a) for a in agree)
+        counted[p] = counted.get(p, 0) + 1
+    shares, classes = linkage.expectation_maximisation(list(counted.items()), place)
+    assert all(abs(s - w) < 0.04 for s, w in zip(shares, (0.2, 0.2, 0.6), strict=True))
+    assert classes[0][place][1] > 0.8 and classes[1][place][1] < 0.15 and classes[2][0][1] < 0.2
 
 
 def entries(spark, rows):
