@@ -20,6 +20,8 @@ from kontor.session import cut
 
 #: Share of matches whose postal codes contradict each other by more than a typing error.
 ERRORS = 0.001
+#: Share of branches and namesakes that have the postal code of the other place.
+NEIGHBOURS = 0.03
 LEVELS = ("name", "trade", "postal", "site", "contact", "region")
 
 
@@ -101,9 +103,9 @@ def expectation_maximisation(patterns: list[tuple[tuple, int]], elsewhere: int |
                     for j in range(k):
                         counted[j][i][v] += h[j]
         if k == 3 and 0 in values[elsewhere]:
-            # matches are at one place by definition; only errors contradict it
-            of = counted[0][elsewhere]
-            of[0] = ERRORS * sum(x for v, x in of.items() if v)
+            # matches are at one place by definition, the middle class at two; one attribute can't tell them apart by itself
+            for of, share in ((counted[0][elsewhere], ERRORS), (counted[1][elsewhere], 1 - NEIGHBOURS)):
+                of[0] = share / (1 - share) * sum(x for v, x in of.items() if v)
         return shares, [[{v: x / sum(c.values()) for v, x in c.items()} for c in of] for of in counted]
 
     shares, classes = estimated([[c * (0.9 if j == first(p) else 0.1 / (k - 1)) for j in range(k)] for p, c in patterns])

@@ -158,7 +158,7 @@ def test_expectation_maximisation_tells_branches_from_matches():
     counted: dict[tuple, int] = {}
     for _ in range(6000):
         x = rng.random()
-        agree = [0.9] * n if x < 0.2 else [0.05 if i == place else 0.9 for i in range(n)] if x < 0.4 else [0.9 if i == place else 0.1 for i in range(n)]
+        agree = [0.999 if i == place else 0.9 for i in range(n)] if x < 0.2 else [0.05 if i == place else 0.9 for i in range(n)] if x < 0.4 else [0.9 if i == place else 0.1 for i in range(n)]
         p = tuple(int(rng.random() < a) for a in agree)
         counted[p] = counted.get(p, 0) + 1
     shares, classes = linkage.expectation_maximisation(list(counted.items()), place)
