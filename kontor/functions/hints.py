@@ -16,11 +16,15 @@ def decoded_cfemail(code: Column) -> Column:
 
 
 def accept_language(languages: Column, country: Column) -> Column:
-    """SF-26: header value from languages in order of preference, the first with its country, then falling weights."""
-    first = F.element_at(languages, 1)
-    rest = F.transform(F.slice(languages, 2, F.greatest(F.size(languages) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(";q=0."), F.greatest(F.lit(8) - i, F.lit(1)).cast("string")))
-    head = F.array(F.concat_ws("-", first, F.upper(country)), F.concat(first, F.lit(";q=0.9")))
-    return F.when(F.size(languages) > 0, F.array_join(F.concat(head, rest), ","))
+    """SF-26: header value from languages in order of preference: the first with its country, then falling weights.
+
+    Languages are lower case and count once; English is added at the end if it is not among them, and stands for an empty
+    or null list. Weights fall by a tenth from 0.9 to 0.1."""
+    told = F.array_distinct(F.transform(F.filter(languages, lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x))))
+    told = F.when(F.size(told) > 0, told).otherwise(F.array(F.lit("en")))
+    all_ = F.when(F.array_contains(told, "en"), told).otherwise(F.concat(told, F.array(F.lit("en"))))
+    weighed = F.transform(all_, lambda x, i: F.concat(x, F.lit(";q=0."), F.greatest(F.lit(9) - i, F.lit(1)).cast("string")))
+    return F.concat_ws(",", F.array(F.concat(F.element_at(told, 1), F.lit("-"), F.upper(country))), weighed)
 
 
 def is_public_address(ip: Column) -> Column:

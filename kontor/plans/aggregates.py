@@ -98,8 +98,8 @@ def round_robin_order(spark: SparkSession, d: str) -> DataFrame:
     return numbered(turns, ["country_code"], ["turn", "area_id"], "place").select("entry_id", "country_code", "turn", "place")
 
 
-def specific_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """WI-07: of the slices an entry was found in, its most frequent industry and area, each on its own, the first of equals."""
+def frequent_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Of the slices an entry was found in, its most frequent industry and area, each on its own, the first of equals."""
     e = table(spark, d, "dedup_entries").select("entry_id", F.posexplode("found_in").alias("pos", "s"))
     out = None
     for field, name in (("area_id", "area_id"), ("industry_profile_id", "industry")):
@@ -109,8 +109,8 @@ def specific_assignment(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def fuzzy_margin(spark: SparkSession, d: str) -> DataFrame:
-    """WI-10: of the pages of a domain the newest, and by how many seconds it leads the one before."""
+def newest_lead(spark: SparkSession, d: str) -> DataFrame:
+    """Of the pages of a domain the newest, and by how many seconds it leads the one before."""
     p = table(spark, d, "site_pages").select("domain", "page_id", "fetched_at")
     w = Window.partitionBy("domain").orderBy(F.col("fetched_at").desc(), F.col("page_id").desc())
     lead = F.unix_micros(F.col("fetched_at").cast("timestamp")) / 1e6 - F.unix_micros(F.lead("fetched_at").over(w).cast("timestamp")) / 1e6
@@ -146,7 +146,7 @@ def last_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def late_rows(spark: SparkSession, d: str) -> DataFrame:
-    """ST-04: company rows loaded more than a day after they were finished, by job."""
+    """Company rows loaded more than a day after they were finished, by job."""
     s = table(spark, d, "scrape_final")
     late = F.unix_micros(F.col("loaded_at").cast("timestamp")) - F.unix_micros(F.col("finished_at").cast("timestamp")) > 86_400_000_000
     return s.groupBy("job_id").agg(F.sum(late.cast("int")).alias("late"), F.count(F.lit(1)).alias("rows"))
@@ -173,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         findings_merge, slice_stats, slice_rollup, found_in_labels, event_counters, score_histogram, running_progress, quota_waterfill, overfetch, best_email, tiered_order, quota_take,
-        round_robin_order, specific_assignment, fuzzy_margin, domain_gap, max_in_flight, time_to_fifth, token_bucket, last_state, late_rows, ordered_page, both_sources, typed_industries,
+        round_robin_order, frequent_assignment, newest_lead, domain_gap, max_in_flight, time_to_fifth, token_bucket, last_state, late_rows, ordered_page, both_sources, typed_industries,
     )
 }
 
@@ -211,12 +211,12 @@ SELECT entry_id, area_id, industry, place, place <= quota AS taken FROM (
     "round_robin_order": """
 WITH t AS (SELECT entry_id, slice.country_code AS country_code, slice.area_id AS area_id, row_number() OVER (PARTITION BY slice.country_code, slice.area_id ORDER BY added_at, entry_id) AS turn FROM dedup_entries)
 SELECT entry_id, country_code, turn, row_number() OVER (PARTITION BY country_code ORDER BY turn, area_id) AS place FROM t""",
-    "specific_assignment": """
+    "frequent_assignment": """
 WITH e AS (SELECT entry_id, unnest(generate_series(0, len(found_in) - 1)) AS pos, unnest(list_transform(found_in, lambda x: x.area_id)) AS area_id, unnest(list_transform(found_in, lambda x: x.industry_profile_id)) AS industry FROM dedup_entries),
 a AS (SELECT entry_id, area_id, row_number() OVER (PARTITION BY entry_id ORDER BY count(*) DESC, min(pos)) AS rn FROM e GROUP BY 1, 2),
 i AS (SELECT entry_id, industry, row_number() OVER (PARTITION BY entry_id ORDER BY count(*) DESC, min(pos)) AS rn FROM e GROUP BY 1, 2)
 SELECT a.entry_id, area_id, industry FROM a JOIN i ON a.entry_id = i.entry_id AND a.rn = 1 AND i.rn = 1""",
-    "fuzzy_margin": """
+    "newest_lead": """
 SELECT domain, page_id, lead_s FROM (SELECT domain, page_id, (epoch_us(fetched_at) - epoch_us(lead(fetched_at) OVER w)) / 1e6 AS lead_s, row_number() OVER w AS i
   FROM site_pages WINDOW w AS (PARTITION BY domain ORDER BY fetched_at DESC, page_id DESC)) WHERE i = 1""",
     "domain_gap": "SELECT event_id, user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) - 30000000) / 1e6 AS gap_s FROM events",
@@ -226,6 +226,12 @@ g AS (SELECT event_type, t, sum(s) + sum(e) AS d FROM p GROUP BY 1, 2)
 SELECT event_type, max(now) AS most FROM (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY t) AS now FROM g) GROUP BY 1""",
     "time_to_fifth": """
 SELECT user_id, (epoch_us(ts) - epoch_us(t0)) / 1e6 AS seconds FROM (SELECT user_id, ts, min(ts) OVER (PARTITION BY user_id) AS t0, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events) WHERE i = 5""",
+    "token_bucket": """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+b AS (SELECT user_id, event_id, i, t, 2.0::DOUBLE AS tokens, true AS allowed FROM e WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, t, CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1
+  FROM (SELECT e.user_id, e.event_id, e.i, e.t, least(3.0, b.tokens + greatest(0.0, e.t - b.t) * (1 / 3600)) AS have FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1))
+SELECT user_id, event_id, allowed FROM b""",
     "last_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS at, count(*) AS events FROM events GROUP BY 1",
     "late_rows": "SELECT job_id, sum((epoch_us(loaded_at) - epoch_us(finished_at) > 86400000000)::INT) AS late, count(*) AS rows FROM scrape_final GROUP BY 1",
     "ordered_page": "SELECT entry_id, norm_name FROM dedup_entries ORDER BY norm_name NULLS LAST, entry_id LIMIT 50 OFFSET 50",

@@ -10,7 +10,6 @@ from kontor.functions.urls import registered_domain
 from kontor.operators import similarity
 from kontor.operators.graph import components
 from kontor.operators.joins import checked_broadcast
-from kontor.session import cut
 from kontor.sources.tables import table
 
 # Legal forms that no comparison of names counts.
@@ -32,7 +31,7 @@ def country_split(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "canon_values")
     regions = c.where("field = 'region'").select("country_code", F.col("code").alias("region_code"), F.col("name").alias("region"))
     counted = regions.groupBy("country_code").agg(F.count(F.lit(1)).alias("n")).where("n between 1 and 40")
-    return regions.join(F.broadcast(counted), "country_code").select("country_code", "region_code", "region", F.row_number().over(Window.partitionBy("country_code").orderBy("region_code")).alias("place"))
+    return regions.join(checked_broadcast(counted), "country_code").select("country_code", "region_code", "region", F.row_number().over(Window.partitionBy("country_code").orderBy("region_code")).alias("place"))
 
 
 def same_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -48,25 +47,12 @@ def same_entities(spark: SparkSession, d: str) -> DataFrame:
 def fuzzy_same_place(spark: SparkSession, d: str) -> DataFrame:
     """JO-03, fuzzy part: pairs of the two sources at one postal code whose names have a token-set ratio of 92 or more.
 
-    Distinct names are compared, each pair once. Candidates share four letters in a row of a telling word, which at most
-    a thousandth of all names hold (twenty at least); so neither a hot postal code nor a trade makes pairs by itself. A
-    name without such a word looks up four letters of all its words among all words of the other side."""
-    rows = [table(spark, d, t).where("postal is not null and norm_name is not null").select("entry_id", "postal", "norm_name", F.lit(i).alias("side")) for i, t in enumerate(("dedup_entries", "web_entries"))]
-    both = rows[0].unionByName(rows[1])
-    n = rows[0].count() + rows[1].count()
-    common = both.select("entry_id", F.explode(F.array_distinct(F.split("norm_name", " "))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(20, n // 1000)).select("word", F.lit(True).alias("common"))
-    words_ = both.select("side", "postal", "norm_name").distinct().select("side", "postal", "norm_name", F.explode(F.array_distinct(F.split("norm_name", " "))).alias("word"))
-    words_ = words_.join(checked_broadcast(common), "word", "left")
-    names = cut(words_.groupBy("side", "postal", "norm_name").agg(F.collect_list("word").alias("every"), F.collect_list(F.when(F.col("common").isNull(), F.col("word"))).alias("rare")))
-    grams = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 3)), lambda p: F.substring(w, p, 4)))))
-    key = lambda side, c, which, name: names.where(F.col("side") == side).where(which).select("postal", F.explode(grams(c)).alias("gram"), F.col("norm_name").alias(name))
-    met = lambda c, left, right: key(0, c, left, "osm_name").join(key(1, c, right, "web_name"), ["postal", "gram"]).select("postal", "osm_name", "web_name")
-    plain, any_ = F.size("rare") == 0, F.lit(True)
-    pairs = met("rare", ~plain, ~plain).unionByName(met("every", plain, any_)).unionByName(met("every", ~plain, plain)).distinct()
-    found = pairs.withColumn("ratio", similarity.set_ratio("osm_name", "web_name")).where("ratio >= 92")
-    a = rows[0].select(F.col("entry_id").alias("osm_id"), "postal", F.col("norm_name").alias("osm_name"))
-    b = rows[1].select(F.col("entry_id").alias("web_id"), "postal", F.col("norm_name").alias("web_name"))
-    return found.join(a, ["postal", "osm_name"]).join(b, ["postal", "web_name"]).select("osm_id", "web_id", F.round("ratio", 4).alias("ratio")).distinct()
+    Distinct names are compared, each pair once, by :func:`similarity.names_alike`"""
+    rows = [table(spark, d, t).where("postal is not null and norm_name is not null").select("entry_id", "postal", "norm_name") for t in ("dedup_entries", "web_entries")]
+    a = rows[0].select(F.col("entry_id").alias("osm_id"), "postal", F.col("norm_name").alias("a"))
+    b = rows[1].select(F.col("entry_id").alias("web_id"), "postal", F.col("norm_name").alias("b"))
+    found = similarity.names_alike(a.select("postal", "a").distinct(), b.select("postal", "b").distinct(), "postal", 92)
+    return found.join(a, ["postal", "a"]).join(b, ["postal", "b"]).select("osm_id", "web_id", F.round("ratio", 4).alias("ratio")).distinct()
 
 
 def token_superset(spark: SparkSession, d: str) -> DataFrame:
@@ -157,6 +143,14 @@ def names_normal(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (slices_cross, country_split, same_entities, fuzzy_same_place, token_superset, fill_nulls_merge, region_check, web_only, email_pages, website_lookup, source_union, suppressed, names_normal)}
 
 SQL = {
+    "same_entities": r"""
+WITH RECURSIVE e AS (SELECT entry_id, array_to_string(string_split(domain_host, '.')[-2:], '.') AS domain, postal, norm_name FROM (
+  SELECT entry_id, regexp_extract(lower(trim(domain)), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([a-z0-9](?:[a-z0-9.-]*[a-z0-9])?)(?::\d+)?(?:[/?#].*)?$', 1) AS domain_host, postal, norm_name
+  FROM (SELECT entry_id, domain, postal, norm_name FROM dedup_entries UNION ALL SELECT entry_id, domain, postal, norm_name FROM web_entries))),
+k AS (SELECT entry_id, 'd:' || domain AS key FROM e WHERE domain LIKE '%.%' UNION SELECT entry_id, 'n:' || postal || ':' || norm_name FROM e WHERE postal IS NOT NULL AND norm_name IS NOT NULL),
+p AS (SELECT DISTINCT a.entry_id AS a, b.entry_id AS b FROM k a JOIN k b ON a.key = b.key),
+r AS (SELECT a AS node, b AS reach FROM p UNION SELECT r.node, p.b FROM r JOIN p ON r.reach = p.a)
+SELECT e.entry_id, coalesce(min(reach), e.entry_id) AS entity_id FROM e LEFT JOIN r ON e.entry_id = r.node GROUP BY e.entry_id""".replace("\\\\d", "\\d"),
     "slices_cross": """
 WITH r AS (SELECT job_id, unnest(generate_series(0, len(resolved.regions) - 1)) AS rp, unnest(list_transform(resolved.regions, lambda x: x.input)) AS region, resolved.industries AS inds FROM scrape_resolve),
 s AS (SELECT job_id, rp, region, unnest(generate_series(0, len(inds) - 1)) AS ip, unnest(list_transform(inds, lambda x: x.input)) AS industry FROM r),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kontor.functions.text import words
 from kontor.functions.urls import host
 from kontor.operators.allocation import first_per
+from kontor.operators.joins import checked_broadcast
 from kontor.plans.sources import sql_host
 from kontor.sources.tables import table
 
@@ -29,8 +30,8 @@ def email_placeholders(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "scrape_final").select("row_id", F.lower(F.trim("company_email")).alias("email")).where("email like '%@%'")
     e = e.withColumn("local", F.substring_index("email", "@", 1)).withColumn("domain", F.substring_index("email", "@", -1))
     # the list is the fixed reference table of a few dozen values
-    local = F.broadcast(p.where("kind = 'local'").select(F.col("value").alias("local"), F.lit(True).alias("l")).distinct())
-    domain = F.broadcast(p.where("kind = 'domain'").select(F.col("value").alias("domain"), F.lit(True).alias("m")).distinct())
+    local = checked_broadcast(p.where("kind = 'local'").select(F.col("value").alias("local"), F.lit(True).alias("l")).distinct())
+    domain = checked_broadcast(p.where("kind = 'domain'").select(F.col("value").alias("domain"), F.lit(True).alias("m")).distinct())
     return e.join(local, "local", "left").join(domain, "domain", "left").select("row_id", F.coalesce("l", "m", F.lit(False)).alias("stand_in"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kontor.functions.text import blank_to_null, folded
 from kontor.functions.urls import host, normal_website, registered_domain
 from kontor.operators.allocation import first_per
+from kontor.operators.joins import checked_broadcast
 from kontor.sources.tables import table
 
 # Hosts that anybody can get an address at, and directories of companies.
@@ -78,7 +79,7 @@ def company_sites(spark: SparkSession, d: str) -> DataFrame:
     """FI-03: web entries whose host is no directory of companies."""
     w = table(spark, d, "web_entries").select("entry_id", host(F.col("candidate.website")).alias("host"))
     listed = spark.createDataFrame([(x,) for x in DIRECTORIES], "host string")
-    return w.where("host is not null").join(F.broadcast(listed), "host", "left_anti").select("entry_id", "host")
+    return w.where("host is not null").join(checked_broadcast(listed), "host", "left_anti").select("entry_id", "host")
 
 
 def first_per_host(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +105,7 @@ def resolve_exact(spark: SparkSession, d: str) -> DataFrame:
     industry = r.select("job_id", F.posexplode("resolved.industries.input").alias("pos", "input")).select("job_id", F.lit("industry").alias("field"), "pos", "input")
     rows = country.unionByName(region).unionByName(industry).where("input is not null").withColumn("key", folded(F.trim("input")))
     # the list is the fixed reference table; a few hundred keys
-    return rows.join(F.broadcast(keys), ["field", "key"], "left").select("job_id", "field", "pos", "canon_id")
+    return rows.join(checked_broadcast(keys), ["field", "key"], "left").select("job_id", "field", "pos", "canon_id")
 
 
 def first_spellings(spark: SparkSession, d: str) -> DataFrame:

@@ -52,8 +52,8 @@ def json_ld_blocks(spark: SparkSession, d: str) -> DataFrame:
     return b.select("page_id", "pos", F.get_json_object("block", "$.name").alias("name"), F.regexp_replace(F.get_json_object("block", "$.email"), "^mailto:", "").alias("email"))
 
 
-def page_emails(spark: SparkSession, d: str) -> DataFrame:
-    """SF-12, SF-13: distinct addresses of each page's markup, lower case."""
+def markup_emails(spark: SparkSession, d: str) -> DataFrame:
+    """SF-12, plain part: distinct addresses of each page's markup, lower case."""
     p = table(spark, d, "site_pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(f"({MAIL})"), F.lit(1))).alias("email"))
     return p.select("page_id", F.lower("email").alias("email")).distinct()
 
@@ -121,7 +121,7 @@ def street_lines(spark: SparkSession, d: str) -> DataFrame:
 def request_hashes(spark: SparkSession, d: str) -> DataFrame:
     """SF-28, ST-03: equal requests by the hash of their typed inputs, with the first of each."""
     r = table(spark, d, "scrape_resolve")
-    body = F.concat_ws("|", F.coalesce("resolved.country.input", F.lit("")), F.array_join("resolved.regions.input", ","), F.array_join("resolved.industries.input", ","))
+    body = F.to_json(F.struct(F.col("resolved.country.input").alias("country"), F.col("resolved.regions.input").alias("regions"), F.col("resolved.industries.input").alias("industries")), {"ignoreNullFields": "false"})
     return r.groupBy(F.sha2(body, 256).alias("hash")).agg(F.min("job_id").alias("job_id"), F.count(F.lit(1)).alias("requests"))
 
 
@@ -148,7 +148,7 @@ def mail_per_language(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_texts, page_languages, page_titles, contact_links, json_ld_blocks, page_emails, document_emails, objections, keyword_hits, vat_numbers, register_numbers, phone_numbers, app_shells,
+        page_texts, page_languages, page_titles, contact_links, json_ld_blocks, markup_emails, document_emails, objections, keyword_hits, vat_numbers, register_numbers, phone_numbers, app_shells,
         organisation_types, street_lines, request_hashes, props_json, bounding_boxes, mail_per_language,
     )
 }
@@ -171,7 +171,7 @@ FROM (SELECT domain, page_id, unnest(regexp_extract_all(html, '<a\\b[^>]*\\bhref
 WITH b AS (SELECT page_id, regexp_extract_all(html, '<script type="application/ld\\+json">(.*?)</script>', 1, 'is') AS x FROM site_pages),
 u AS (SELECT page_id, unnest(generate_series(0, len(x) - 1)) AS pos, unnest(x) AS block FROM b)
 SELECT page_id, pos, CASE WHEN json_valid(block) THEN json_extract_string(block, '$.name') END AS name, CASE WHEN json_valid(block) THEN regexp_replace(json_extract_string(block, '$.email'), '^mailto:', '') END AS email FROM u""",
-    "page_emails": EMAILS.format(i="page_id", t="html", f="site_pages"),
+    "markup_emails": EMAILS.format(i="page_id", t="html", f="site_pages"),
     "document_emails": f"SELECT doc_id, email, string_split(string_split(string_split(string_split(email, '@')[1], '+')[1], '-')[1], '.')[1] IN ({', '.join(repr(r) for r in ROLES)}) AS role FROM ({EMAILS.format(i='doc_id', t='text', f='documents')})",
     "objections": "SELECT doc_id, objects FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '{p[4:].replace(chr(39), chr(39) * 2)}', 'i') THEN '{k}'" for k, p in OBJECTIONS) + " END AS objects FROM (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents)) WHERE objects IS NOT NULL",
     "vat_numbers": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b((?:DE|AT|FR|GB|ES)[0-9]{9})\\b', 1)) AS vat FROM documents",
@@ -183,7 +183,7 @@ SELECT entry_id, CASE WHEN p LIKE '+%' THEN p WHEN p LIKE '0%' THEN CASE cc WHEN
     "organisation_types": "SELECT type, count(DISTINCT org_id) AS blocks FROM (SELECT org_id, unnest(types) AS type FROM jsonld_orgs) WHERE type IN ('Organization', 'Corporation') OR regexp_matches(type, '(Business|Organization)$') GROUP BY 1",
     "street_lines": "SELECT addr_id, line FROM (SELECT addr_id, trim(regexp_replace(address, '\\s+', ' ', 'g')) AS line FROM address_results) WHERE length(line) <= 90 AND regexp_matches(line, '[0-9]') AND regexp_matches(line, '[A-Za-z]{3}') AND NOT regexp_matches(line, 'tel\\.|fax|@', 'i')",
     "request_hashes": """
-SELECT sha256(concat_ws('|', coalesce(resolved.country.input, ''), coalesce(array_to_string(list_transform(resolved.regions, lambda x: x.input), ','), ''), coalesce(array_to_string(list_transform(resolved.industries, lambda x: x.input), ','), ''))) AS hash,
+SELECT sha256(to_json({'country': resolved.country.input, 'regions': list_transform(resolved.regions, lambda x: x.input), 'industries': list_transform(resolved.industries, lambda x: x.input)})::VARCHAR) AS hash,
   min(job_id) AS job_id, count(*) AS requests FROM scrape_resolve GROUP BY 1""",
     "props_json": "SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k, count(json_extract_string(props, '$.k')) AS told FROM events GROUP BY 1",
     "bounding_boxes": """

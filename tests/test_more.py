@@ -66,7 +66,7 @@ def test_hints(spark):
     df = spark.createDataFrame([(encoded("info@firma.example", 0x5A),), ("zz",), (None,), ("5a1",)], "c string")
     assert [r[0] for r in df.select(hints.decoded_cfemail(F.col("c"))).collect()] == ["info@firma.example", None, None, None]
     df = spark.createDataFrame([(["de", "en", "fr"], "de"), ([], "de"), (None, None)], "l array<string>, c string")
-    assert [r[0] for r in df.select(hints.accept_language(F.col("l"), F.col("c"))).collect()] == ["de-DE,de;q=0.9,en;q=0.8,fr;q=0.7", None, None]
+    assert [r[0] for r in df.select(hints.accept_language(F.col("l"), F.col("c"))).collect()] == ["de-DE,de;q=0.9,en;q=0.8,fr;q=0.7", "en-DE,en;q=0.9", "en;q=0.9"]
     page = """<a href="https://www.facebook.com/Firma">f</a><a href='https://www.facebook.com/sharer.php?u=1'>s</a><a href="https://de.linkedin.com/company/firma">l</a>"""
     got = spark.createDataFrame([(page,)], "h string").select(hints.profiles(F.col("h")).alias("p")).first().p
     assert got == {"facebook": ["facebook.com/firma"], "linkedin": ["linkedin.com/company/firma"]}
