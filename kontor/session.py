@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import os
 import shutil
 import tempfile
@@ -9,6 +11,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Cuts between two collections of the driver's garbage.
+CUTS = 12
+COUNT = itertools.count(1)
+
 
 def local_session(cpus: int | str = 8, app: str = "kontor", shuffle_partitions: int = 8) -> SparkSession:
     """A session for one machine (tests, bench); on a cluster the caller's own session is used as it is."""
@@ -55,12 +61,16 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used where a result is read more than once or a loop would grow its plan. The copy is on storage that
     all executors share, so losing an executor costs nothing but its running tasks. The bytes written are kept beside
-    the frame (see :func:`held_bytes`).
+    the frame (see :func:`held_bytes`). Every ``CUTS`` cuts the driver collects its garbage, so that plans, broadcasts and
+    checkpoints of earlier steps are let go before the driver's memory and the folder fill.
     """
     if held_bytes(df) is not None:
         return df
     ensure_checkpoint_dir(df.sparkSession)
     done = df.checkpoint(eager=True)
+    if next(COUNT) % CUTS == 0:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     done._kontor_bytes = written_bytes(done)
     return done
 
