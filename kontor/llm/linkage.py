@@ -82,7 +82,7 @@ def expectation_maximisation(patterns: list[tuple[tuple, int]], elsewhere: int |
     frequent (branches and namesakes), which are neither alike; with ``elsewhere``, the number of the attribute that tells the
     place, they are a class of their own between the two. Patterns are few (at most the product of the levels), so this
     runs on the driver on counts of all pairs. Unknown levels take no part. Starts from nine tenths of the pairs that agree
-    fully in the first attribute as matches (as the middle class where the place is contradicted) and nine tenths of the
+    fully in the first attribute and contradict each other in one more at most as matches (as the middle class where the place is contradicted) and nine tenths of the
     others as the last class; stops when no share moves by ``tol``, raises after ``rounds``."""
     n = len(LEVELS)
     values = [sorted({p[i] for p, _ in patterns if p[i] is not None}) for i in range(n)]
@@ -90,7 +90,7 @@ def expectation_maximisation(patterns: list[tuple[tuple, int]], elsewhere: int |
     k = 2 if elsewhere is None else 3
 
     def first(p: tuple) -> int:
-        if p[0] is None or p[0] < max(values[0]):
+        if p[0] is None or p[0] < max(values[0]) or sum(v == 0 for i, v in enumerate(p) if i != elsewhere) > 1:
             return k - 1
         return 1 if k == 3 and p[elsewhere] == 0 else 0
 
