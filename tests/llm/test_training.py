@@ -330,6 +330,22 @@ def test_common_words_are_those_of_many_names(spark):
     assert all(got[i] == [n.split()[1].lower()] for i, n, _, _ in firms(0))
 
 
+def test_steps_of_names_stay_few_and_are_let_go(spark, sf, monkeypatch):
+    cuts, collected = [], []
+    kind, write = type(spark.range(1)), type(spark.range(1)).checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **k: cuts.append(1) or write(self, *a, **k))
+    let_go = getattr(names, "release", None)
+    monkeypatch.setattr(names, "release", lambda s: collected.append(1) or let_go(s), raising=False)
+    assert queries.p6_found(spark, sf).count() == 261
+    assert len(cuts) <= 36 and len(collected) >= 5
+
+
+def test_pairs_of_large_groups_are_whole(spark):
+    rows = [(i, 1) for i in range(300)] + [(1000 + i, 2) for i in range(3)] + [(2000, 3)]
+    got = sorted((r.id_a, r.id_b) for r in names.pairs_of(spark.createDataFrame(rows, "id bigint, g int"), "g", whole=100).collect())
+    assert got == sorted((a, b) for a, x in rows for b, y in rows if x == y and a < b)
+
+
 def test_name_words():
     assert names.name_words("Möbelwerkstätten Sören Wumont UG (haftungsbeschränkt)") == ["mobelwerkstatten", "soren", "wumont"]
     assert names.name_words("G.m.b.H. Gebr. Stahl & Söhne – Hagelmarn") == ["stahl", "sohne"]

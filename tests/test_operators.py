@@ -14,7 +14,8 @@ from kontor.functions.text import folded, words
 from kontor.operators import similarity, timeline
 from kontor.operators.allocation import first_per, round_robin, water_fill
 from kontor.operators.graph import components
-from kontor.operators.joins import hot_key_join
+from kontor.operators.joins import BROADCAST_BYTES, HEAP_PART, broadcast_bytes, checked_broadcast, hot_key_join
+from kontor.session import cut, held_bytes
 
 
 def rounds(total: int, caps: dict[str, int]) -> dict[str, int]:
@@ -63,6 +64,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_keep_small_estimates(spark):
+    chain = components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a bigint, b bigint"))
+    assert {r.component for r in chain.collect()} == {0}
+    assert chain._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+
+
 def test_hot_key_join(spark):
     rows = [("hot", i) for i in range(4000)] + [(f"k{i % 50}", i) for i in range(200)] + [(None, 1)]
     left = spark.createDataFrame(rows, "k string, v int")
@@ -72,6 +79,18 @@ def test_hot_key_join(spark):
         assert got == sorted(map(str, left.join(right, "k", how).select("k", "v", "x").collect()))
 
 
+def test_part_of_a_cut_frame_is_broadcast_without_being_written(spark):
+    whole = cut(spark.range(100).selectExpr("id", "id * 2 as twice"))
+    part = checked_broadcast(whole.select("id"), of=(whole,))
+    assert held_bytes(part) is None and "ResolvedHint" in part._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in checked_broadcast(whole.select("id"), 1, (whole,))._jdf.queryExecution().analyzed().toString()
+
+
+def test_broadcasts_follow_the_heap_of_the_driver(spark):
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    assert broadcast_bytes(spark) == min(BROADCAST_BYTES, heap // HEAP_PART) and broadcast_bytes(spark) * 40 < heap
+
+
 def test_first_per_and_turns(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, None), ("b", 5, "z")], "k string, n int, v string")
     assert {(r.k, r.n) for r in first_per(df, ["k"], ["n"]).collect()} == {("a", 1), ("b", 5)}
