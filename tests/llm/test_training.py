@@ -200,6 +200,27 @@ def test_candidates_need_no_letters_in_a_row(spark):
     assert got == {(700, 5700): 2, (701, 5701): 2}
 
 
+def test_pairs_of_one_place_are_counted_not_made(spark):
+    rng = random.Random(7)
+    place = [(i + 1000, "".join(rng.choice("bdfglmnrstvz") + rng.choice("aeiou") for _ in range(5)) + "skamp", "47119", None) for i in range(120)]
+    left, right = (linkage.prepared(entries(spark, [(i + k, n, p, d) for i, n, p, d in firms(0) + place])) for k in (0, 5000))
+    pairs = linkage.scored(left, right).where("a_id >= 1000")
+    assert pairs.count() < 4 * len(place)
+    assert {(r.a_id, r.b_id) for r in pairs.where("posterior >= 0.3").collect()} == {(i, i + 5000) for i, *_ in place}
+
+
+def test_pairs_of_different_firms_are_those_of_a_place(spark):
+    rng = random.Random(8)
+    rows = [(s, rng.choice([None, "1", "1", "2"]), rng.choice(["", "backer", "backerei", "metallbau"]), rng.choice([None, "h.example"]), None, rng.choice([None, "12345678"]), rng.choice([None, "x", "y"])) for s in "ab" for _ in range(40)]
+    got = linkage.of_different_firms(spark.createDataFrame(rows, "side string, postal string, trade string, site string, mail string, phone string, region string"), {(2, 1, 2, 1, 1, 1): 5, (2, 0, 0, 0, None, None): 15})
+    pairs = [(a, b) for a in rows for b in rows if a[0] == "a" and b[0] == "b" and a[1] == b[1] and a[1]]
+    assert math.isclose(sum(got.values()), 20 * linkage.OTHERS) and all(p[0] == 0 and p[2] == 2 for p in got)
+    for at, level in ((1, 1), (1, None), (3, 0), (4, None), (5, 1), (5, 0)):
+        of = {1: lambda a, b: None if not a[2] or not b[2] else int(a[2] in b[2] or b[2] in a[2]), 3: lambda a, b: 0 if a[3] and b[3] else None, 4: lambda a, b: 0 if a[5] and b[5] else None, 5: lambda a, b: None if not a[6] or not b[6] else int(a[6] == b[6])}[at]
+        want = sum(of(a, b) == level for a, b in pairs) - 5 * (level == (1 if at in (1, 5) else 0))
+        assert math.isclose(sum(n for p, n in got.items() if p[at] == level), 20 * linkage.OTHERS * want / (len(pairs) - 5))
+
+
 # 3
 
 
@@ -322,6 +343,23 @@ def test_segment_pairs_lose_nothing(spark):
     assert want == got
 
 
+def test_near_pairs_are_those_of_segments(spark):
+    rng = random.Random(9)
+    rows = set()
+    for block, n, least, most in (("crowded", 150, 2, 12), ("long", 150, 16, 30), ("few", 8, 5, 9)):
+        for _ in range(n):
+            w = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(least, most)))
+            rows.add((block, w))
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(w))
+                w = rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice("abcdefgh") + w[k:], w[:k] + w[k + 1 : k + 2] + w[k : k + 1] + w[k + 2 :], w[:k] + rng.choice("abcdefgh") + w[k + 1 :]])
+                rows.add((block, w))
+    rows = sorted(rows) + [("odd", ""), ("odd", None), ("odd", "a" * 3000)]
+    df = spark.createDataFrame(rows, "block string, s string")
+    got, want = ({(r.block, r.a, r.b, r.d) for r in f(df, df).collect()} for f in (segments.near_pairs, segments.segment_pairs))
+    assert got == want and {b for b, *_ in got} == {"crowded", "long", "few", "odd"}
+
+
 def test_common_words_are_those_of_many_names(spark):
     rows = [(i, names.name_words(n), p, d) for i, n, p, d in firms(0)] + [(500 + k, ["slodolbuck", "druckerei"], f"{50000 + k}", "slodolbuck.example") for k in range(40)]
     rows += [(600 + k, [t.lower(), "namensvetter"], f"{70000 + k}", f"n{k}.example") for k, t in enumerate(TRADES * 2)]
